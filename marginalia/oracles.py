@@ -1,0 +1,161 @@
+"""DuckDB SQL for the registered queries, written from the operators' definitions."""
+
+from __future__ import annotations
+
+from marginalia.functions.analyzer import COMPOUNDS, STOPWORDS, analyze_text
+from marginalia.plans.config import EXTENSIONS, FILENAMES
+from marginalia.queries import PAGES_QUERY, PARTS_QUERY, QUERY, REPEATED
+
+SEPARATORS = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}!-&(-/:-@\x5B-\x60\x7B-\x7E]+"
+ENDING = r"'(?i)(''s|s'')$'"
+
+
+def quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+DOCS = r"""docs AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS path_prefix FROM (
+  SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/doc_' || doc_id::VARCHAR || '.md' AS path, split_part(text, chr(10), 1) AS name,
+    regexp_replace(text, '[\r\n]+\z', '') AS description, text AS body FROM documents))"""
+PAGES = r"""docs AS (SELECT path, CASE WHEN title <> '' THEN title ELSE regexp_replace(split_part(path, '/', -1), '(.)\.[^.]*$', '\1') END AS name, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\r\n]+\z', '') AS description FROM (
+  SELECT regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/+$', '') || '/page_' || page_id::VARCHAR || '.md' AS path, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, html FROM pages))"""
+PARTS = "docs AS (SELECT replace(p_brand, '#', '-') || '/part_' || p_partkey::VARCHAR || '.md' AS path, p_name AS name, p_type AS description FROM part)"
+
+
+def terms(source: str, keep: str = "") -> str:
+    """(keep, raw) of the texts of source."""
+    k = keep + ", " if keep else ""
+    compounds = " ".join(f"WHEN lower(part) = '{c}' THEN [{quoted(t)}]" for c, t in COMPOUNDS.items())
+    return rf"""SELECT {k}raw FROM (
+  SELECT {k}unnest(CASE {compounds} ELSE [regexp_replace(lower(part), {ENDING}, '')] END) AS raw FROM (
+    SELECT {k}unnest(string_split(regexp_replace(regexp_replace(regexp_replace(chunk, {ENDING}, ''), '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), ' ')) AS part FROM (
+      SELECT {k}unnest(regexp_split_to_array(text, '{SEPARATORS}')) AS chunk FROM {source}) WHERE chunk <> ''))
+WHERE raw <> '' AND raw NOT IN ({quoted(STOPWORDS)})"""
+
+
+def index(docs: str = DOCS, where: str = "true") -> str:
+    return rf"""WITH {docs.replace("docs AS", "all_docs AS", 1)}, docs AS (SELECT * FROM all_docs WHERE {where}),
+fields AS (SELECT path, 'name' AS field, name AS text FROM docs UNION ALL SELECT path, 'description', description FROM docs UNION ALL SELECT path, 'path', regexp_replace(path, '\.md\z', '') FROM docs),
+raws AS ({terms("fields", "path, field")}),
+postings AS (SELECT path, raw AS term, count(*) FILTER (WHERE field = 'name') AS n_name, count(*) FILTER (WHERE field = 'description') AS n_description, count(*) FILTER (WHERE field = 'path') AS n_path,
+  (3 * count(*) FILTER (WHERE field = 'name') + count(*) FILTER (WHERE field <> 'name'))::BIGINT AS f FROM raws GROUP BY path, raw),
+lengths AS (SELECT path, sum(f)::BIGINT AS len FROM postings GROUP BY path),
+dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+stats AS (SELECT n, total, CASE WHEN n > 0 AND total > 0 THEN total / n ELSE 1.0 END AS avgdl FROM (SELECT (SELECT count(*) FROM docs) AS n, (SELECT coalesce(sum(len), 0) FROM lengths)::DOUBLE AS total))"""
+
+
+IDF = "ln(1 + (greatest(n, 1) - df + 0.5) / (df + 0.5))"
+
+
+def scored(queries: str, docs: str = DOCS, where: str = "true") -> str:
+    """queries: SQL for (query, term, times)."""
+    return rf"""{index(docs, where)}, q AS ({queries}),
+found AS (SELECT query, path, sum(times * {IDF} * 2.2 * f / (f + 1.2 * (0.25 + 0.75 * len / greatest(avgdl, 1e-6)))) AS score, sum(times)::BIGINT AS matched,
+  min(CASE WHEN n_name > 0 THEN 0 WHEN n_description > 0 THEN 1 ELSE 2 END)::BIGINT AS first_field
+  FROM postings JOIN q USING (term) JOIN dfs USING (term) JOIN lengths USING (path), stats GROUP BY query, path)"""
+
+
+def literal(query: str) -> str:
+    found = analyze_text(query, stemmed=False)
+    return "SELECT * FROM (VALUES " + ", ".join(f"(1, {quoted([t])}, {found.count(t)})" for t in sorted(set(found))) + ") v(query, term, times)"
+
+
+ORDER = "ORDER BY round(score, 9) DESC, matched DESC, first_field, path LIMIT 10"
+
+
+def top(query: str, docs: str = DOCS, where: str = "true") -> str:
+    return f"{scored(literal(query), docs, where)} SELECT path, round(score, 6) AS score, matched, first_field FROM (SELECT * FROM found {ORDER})"
+
+
+EXPLAIN = f"""{scored(literal(QUERY))}, best AS (SELECT *, score / max(score) OVER () AS share, matched / {len(analyze_text(QUERY, False))} AS covered FROM (SELECT * FROM found {ORDER}))
+SELECT path, round(score, 6) AS score, round(100 * share)::INT::VARCHAR || '% of top' AS relative, matched::VARCHAR || '/{len(analyze_text(QUERY, False))} terms' AS coverage,
+  CASE WHEN share >= 0.75 AND covered >= 0.75 THEN 'high' WHEN share >= 0.35 OR covered >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM best"""
+
+BATCH = f"""{scored("SELECT query, raw AS term, count(*) AS times FROM (" + terms("(SELECT item_id AS query, text FROM benchmark)", "query") + ") GROUP BY query, raw")}
+SELECT query, path, round(score, 6) AS score, matched, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, matched DESC, first_field, path) AS rank FROM found) WHERE rank <= 5"""
+
+# --- rules: which of the three entries of the queries' rule file apply to a path
+RULE2 = "(path LIKE 'src1/%' AND NOT path LIKE 'src1/fr/%')"
+RULE3 = r"regexp_matches(path, '^src2/(.*/)?doc_1[^/]*\.md$')"
+LINES = "(length(body) - length(replace(body, chr(10), '')) + CASE WHEN body = '' OR body LIKE '%' || chr(10) THEN 0 ELSE 1 END)"
+MAX_LINES = f"CASE WHEN {RULE3} THEN NULL WHEN {RULE2} THEN 4 ELSE 12 END"
+
+MAX_LINES_FOUND = f"""SELECT path AS file, 1 AS line, 1 AS "column", CASE WHEN {RULE2} THEN 'warning' ELSE 'error' END AS severity, 'max-lines' AS rule,
+  'File has ' || n::VARCHAR || ' lines, which exceeds configured max-lines = ' || most::VARCHAR || '.' AS message, false AS fixable
+FROM (SELECT path, {LINES} AS n, {MAX_LINES} AS most FROM docs) WHERE n > most"""
+REQUIRED_FOUND = f"""SELECT path, field FROM (SELECT path, body, unnest(CASE WHEN {RULE3} THEN ['status'] ELSE ['name', 'description'] END) AS field FROM docs)
+WHERE NOT (field = 'name' AND contains(body, chr(10))) AND NOT (field = 'description' AND length(body) > 2000)"""
+BOTH = f"both_kinds AS (SELECT file, severity, rule, fixable FROM ({MAX_LINES_FOUND}) UNION ALL SELECT path, 'error', 'frontmatter-field-missing', true FROM ({REQUIRED_FOUND}))"
+
+# --- references
+HREFS = r"""refs AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS file, u.n - 1 AS n, u.ref FROM pages,
+  LATERAL (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS ref, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS n) u),
+hrefs AS (SELECT page_id, file, n, ref FROM refs UNION ALL SELECT page_id, file, n + 100000, regexp_replace(ref, '^https?://[^/]*/', '../') FROM refs)"""
+
+
+def candidate(link: bool) -> str:
+    path = "split_part(r, '#', 1)" if link else "r"
+    base = f"regexp_extract({path}, '([^/]*)$', 1)"
+    known = rf"regexp_extract({base}, '.(\.[^.]*)$', 1) IN ({quoted(sorted(EXTENSIONS))}) OR {path} IN ({quoted(sorted(FILENAMES))})"
+    shape = rf"regexp_matches({path}, '[/\\]')" if link else rf"regexp_matches({path}, '[/\\]$')"
+    rest = "OR regexp_matches(r, '(?s)#.')" if link else ""
+    allowed = "true" if link else r"NOT regexp_matches(r, '//|\.\.\.|[\p{Z}\s\x0B*?\[{:()<>""'']')"
+    return rf"(r <> '' AND NOT regexp_matches(r, '^(http://|https://|mailto:)') AND {allowed} AND (regexp_matches({path}, '^\.{{0,2}}/') OR {shape} {rest} OR {known}))"
+
+
+CLASSIFIED = rf"""WITH {HREFS} SELECT page_id, n::BIGINT AS n, ref, regexp_matches(r, '^(http://|https://|mailto:)') AS external, {candidate(True)} AS as_link, {candidate(False)} AS as_code,
+  CASE WHEN regexp_matches(split_part(r, '#', 1), '^\.{{1,2}}/') THEN 'relative' WHEN r LIKE '/%' THEN 'root' ELSE 'standard' END AS syntax,
+  CASE WHEN regexp_matches(r, '(?s)^[^#]*#.') THEN url_decode(replace(regexp_extract(r, '(?s)^[^#]*#(.+)$', 1), '+', '%2B')) END AS anchor
+FROM (SELECT *, trim(ref) AS r FROM hrefs)"""
+TARGETS = rf"""targets AS (SELECT page_id, n::BIGINT AS n, ref, CASE WHEN p = '' THEN file WHEN folded IN ('', '!') THEN NULL ELSE substr(folded, 2) END AS target, regexp_matches(p, '[/\\]$') AS folder_like FROM (
+  SELECT *, list_reduce(list_concat([''], string_split(CASE WHEN NOT p LIKE '/%' AND prefix <> '' THEN prefix || '/' || plain ELSE plain END, '/')), lambda acc, x:
+    CASE WHEN x IN ('', '.') OR acc = '!' THEN acc WHEN x = '..' AND acc = '' THEN '!' WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || x END) AS folded FROM (
+    SELECT *, regexp_extract(file, '^(.*)/[^/]*$', 1) AS prefix, regexp_replace(replace(p, '\', '/'), '^/+', '') AS plain FROM (
+      SELECT *, split_part(r, '#', 1) AS p FROM (SELECT *, trim(ref) AS r FROM hrefs) WHERE {candidate(True)}))))"""
+
+WITH_DOCS = f"WITH {DOCS}"
+ORACLES = {
+    "corpus_documents": f"{WITH_DOCS} SELECT path, path_prefix, name, description FROM docs",
+    "tokenize_explode": f"{WITH_DOCS} SELECT raw AS term, count(*) AS n FROM ({terms('(SELECT description AS text FROM docs)')}) GROUP BY raw",
+    "compound_expand": "SELECT id, raw AS term, count(*) AS n FROM ("
+    + terms("(SELECT p_partkey AS id, concat_ws(' ', 'ExecPlan''s execplan XMLParser EXECPLAN execplans dogs''', p_name, p_type) AS text FROM part)", "id")
+    + ") GROUP BY id, raw",
+    "field_term_freq": f"{index()} SELECT * FROM postings",
+    "field_lengths": f"{index()} SELECT * FROM lengths",
+    "doc_frequency": f"{index()} SELECT * FROM dfs",
+    "corpus_stats": f"{index()} SELECT n, total::BIGINT AS total, round(avgdl, 6) AS avgdl FROM stats",
+    "idf_table": f"{index()} SELECT term, df, round({IDF}, 6) AS idf FROM dfs, stats",
+    "match_topk": top(QUERY),
+    "match_explain": EXPLAIN,
+    "match_duplicate_terms": top(REPEATED),
+    "match_scoped": top(QUERY, where="path LIKE 'src1/%'"),
+    "match_exclude": top(QUERY, where=r"(path LIKE '%/doc_17.md' OR NOT (path LIKE 'src1/%' OR regexp_matches(path, '/doc_[^/]*7\.md$')))"),
+    "match_parts": top(PARTS_QUERY, PARTS),
+    "match_pages": top(PAGES_QUERY, PAGES),
+    "match_batch": BATCH,
+    "list_described": rf"{WITH_DOCS} SELECT concat_ws(' | ', {', '.join(f'''replace(regexp_replace({c}, '[\r\n]', ' ', 'g'), '|', '\|')''' for c in ('path', 'name', 'description'))}) AS row FROM docs WHERE description IS NOT NULL",
+    "lint_max_lines": f"{WITH_DOCS} {MAX_LINES_FOUND}",
+    "lint_field_max_chars": f'''{WITH_DOCS} SELECT path, field, n, "limit" FROM (
+  SELECT path, 'name' AS field, length(name)::BIGINT AS n, (CASE WHEN {RULE3} THEN 80 ELSE 300 END)::BIGINT AS "limit" FROM docs UNION ALL SELECT path, 'description', length(description)::BIGINT, 4000::BIGINT FROM docs) WHERE n > "limit"''',
+    "lint_required_fields": f"{WITH_DOCS} {REQUIRED_FOUND}",
+    "rule_policy_fold": f"""{WITH_DOCS} SELECT path, CASE WHEN {RULE3} THEN NULL ELSE 'error' END AS backtick_severity, {RULE3} AS prefer_links, coalesce({MAX_LINES}, 0)::BIGINT AS max_lines,
+  CASE WHEN {RULE3} THEN NULL WHEN {RULE2} THEN 'warning' ELSE 'error' END AS max_lines_severity, CASE WHEN {RULE2} THEN 'unresolved-link-path' ELSE '' END AS ignored,
+  CASE WHEN {RULE3} THEN 'status' ELSE 'name,description' END AS required, 'description=4000,name=' || CASE WHEN {RULE3} THEN '80' ELSE '300' END AS field_max_chars FROM docs""",
+    "glob_self_vs_ancestor": rf"""{WITH_DOCS}, own AS (SELECT path, path_prefix, regexp_matches(path, '/doc_[^/]*3\.md$') OR regexp_matches(path, '^src[3-4]/(.*/)?doc_[^/]\.md$') AS itself FROM docs)
+SELECT path, itself, itself OR (path_prefix <> 'src1/de' AND (path LIKE 'src1/%' OR path_prefix = 'src2/en')) AS or_parent FROM own""",
+    "page_links_classified": CLASSIFIED,
+    "page_links_resolved": f"WITH {HREFS}, {TARGETS} SELECT page_id, n, ref, target, folder_like FROM targets",
+    "unresolved_links": rf"""WITH {HREFS}, {TARGETS}, paths AS (SELECT string_split(path, '/') AS parts FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path FROM pages) WHERE path <> ''),
+known AS (SELECT DISTINCT list_aggregate(parts[1:i], 'string_agg', '/') AS target FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS i FROM paths))
+SELECT target, count(*) AS n FROM targets WHERE target IS NOT NULL AND NOT folder_like AND target NOT IN (SELECT target FROM known) GROUP BY target""",
+    "anchor_slugs": rf"""{WITH_DOCS}, titles AS (SELECT path, u.n - 1 AS n, u.title FROM docs, LATERAL (SELECT unnest(string_split(body, chr(10))) AS title, generate_subscripts(string_split(body, chr(10)), 1) AS n) u),
+slugs AS (SELECT path, n, replace(regexp_replace(lower(trim(regexp_replace(title, '[<>*_`\[\]!\\#&~|]', '', 'g'))), '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\- ]', '', 'g'), ' ', '-') AS slug FROM titles)
+SELECT path, n::BIGINT AS n, slug || CASE WHEN k > 0 THEN '-' || k::VARCHAR ELSE '' END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY path, slug ORDER BY n) - 1 AS k FROM slugs)""",
+    "fix_summary": f"{WITH_DOCS}, {BOTH} SELECT count(*) AS count, coalesce(string_agg(DISTINCT rule, ',' ORDER BY rule), '') AS rules FROM both_kinds WHERE fixable",
+    "run_status": f"""{WITH_DOCS}, {BOTH}, counted AS (SELECT count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity <> 'error') AS warnings, count(*) FILTER (WHERE fixable) AS fixable,
+  coalesce(string_agg(DISTINCT rule, ',' ORDER BY rule) FILTER (WHERE fixable), '') AS rules, coalesce(bool_or(severity = 'error'), false) AS lint, coalesce(bool_or(severity = 'error' AND NOT fixable), false) AS fix FROM both_kinds)
+SELECT 'lint' AS mode, errors, warnings, fixable, rules, lint AS failed FROM counted UNION ALL SELECT 'fix', errors, warnings, fixable, rules, fix FROM counted""",
+    "edit_overlap_check": """SELECT * FROM (SELECT path, start, "end", lead(start) OVER (PARTITION BY path ORDER BY start, "end") AS next_start FROM (
+  SELECT l_orderkey AS path, l_partkey % 1000 AS start, l_partkey % 1000 + l_quantity::BIGINT AS "end" FROM lineitem)) WHERE "end" > next_start""",
+}

@@ -1,0 +1,306 @@
+"""Registered queries: each applies operators to whole tables; their DuckDB SQL is in oracles.py."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.functions import text
+from marginalia.functions.analyzer import explode_terms
+from marginalia.functions.frontmatter import frontmatter
+from marginalia.functions.markdown import heading_anchors, markdown_nodes
+from marginalia.operators import fix, lint, listing, ranking
+from marginalia.operators import references as R
+from marginalia.plans.config import default, parse
+from marginalia.runtime import ship
+from marginalia.sources import adapters
+from marginalia.sources.globs import compile_patterns, taken
+
+#: What the ranking queries look for; words that occur in the tables, and stop words that don't count.
+QUERY = "the thon inwh der que OnSt erst's"
+REPEATED = "thon thon inwh plan"
+PARTS_QUERY = "small blue ECONOMY ring"
+PAGES_QUERY = "thon privacy elle thant"
+#: A rule file for the queries on literals and documents.
+RULES = """
+[[rules]]
+path = "*.md"
+max-lines = 12
+enable = ["unresolved-backtick-path"]
+[rules.frontmatter]
+required = ["name", "description"]
+[rules.frontmatter.fields.name]
+max-chars = 300
+[rules.frontmatter.fields.description]
+max-chars = 4000
+
+[[rules]]
+path = "src1/"
+exclude = ["src1/fr/"]
+severity = "warn"
+max-lines = 4
+disable = ["unresolved-link-path"]
+
+[[rules]]
+path = "/src2/**/doc_1*.md"
+disable = ["max-lines", "unresolved-backtick-path"]
+enable = ["prefer-links-for-local-paths"]
+[rules.frontmatter]
+required = ["status"]
+[rules.frontmatter.fields.name]
+max-chars = 80
+"""
+
+
+def r6(column: str) -> F.Column:
+    return F.round(column, 6).alias(column)
+
+
+def corpus_documents(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.documents(spark, d).select("path", "path_prefix", "name", "description")
+
+
+def tokenize_explode(spark: SparkSession, d: str) -> DataFrame:
+    terms = explode_terms(adapters.documents(spark, d), "description", [])
+    return terms.groupBy(F.col("raw").alias("term")).agg(F.count("*").alias("n"))
+
+
+def compound_expand(spark: SparkSession, d: str) -> DataFrame:
+    names = adapters.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.lit("ExecPlan's execplan XMLParser EXECPLAN execplans dogs'"), "p_name", "p_type").alias("text"))
+    return explode_terms(names, "text", ["id"]).groupBy("id", F.col("raw").alias("term")).agg(F.count("*").alias("n"))
+
+
+def _index(spark: SparkSession, d: str) -> ranking.Index:
+    return ranking.build_index(adapters.documents(spark, d), stemmed=False)
+
+
+def field_term_freq(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).postings
+
+
+def field_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).lengths
+
+
+def doc_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).frequencies()
+
+
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).stats().select("n", F.col("total").cast("long").alias("total"), r6("avgdl"))
+
+
+def idf_table(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    return index.frequencies().crossJoin(F.broadcast(index.stats())).select("term", "df", F.round(ranking.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+def _top(found: DataFrame) -> DataFrame:
+    return found.select("path", r6("score"), F.col("matched").cast("long").alias("matched"), F.col("first_field").cast("long").alias("first_field"))
+
+
+def match_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _top(ranking.match(_index(spark, d), QUERY, 10))
+
+
+def match_explain(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.explain(_index(spark, d), QUERY, 10).select("path", r6("score"), "relative", "coverage", "band")
+
+
+def match_duplicate_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _top(ranking.match(_index(spark, d), REPEATED, 10))
+
+
+def match_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics come from the scope, not from all documents."""
+    docs = adapters.documents(spark, d)
+    return _top(ranking.match(ranking.build_index(docs.where(F.startswith("path", F.lit("src1/"))), stemmed=False), QUERY, 10))
+
+
+def match_exclude(spark: SparkSession, d: str) -> DataFrame:
+    docs = adapters.documents(spark, d)
+    kept = docs.where(~taken(compile_patterns(["src1/**", "doc_*7.md", "!doc_17.md"]), F.col("path")))
+    return _top(ranking.match(ranking.build_index(kept, stemmed=False), QUERY, 10))
+
+
+def match_parts(spark: SparkSession, d: str) -> DataFrame:
+    return _top(ranking.match(ranking.build_index(adapters.parts(spark, d), stemmed=False), PARTS_QUERY, 10))
+
+
+def match_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _top(ranking.match(ranking.build_index(adapters.pages(spark, d), stemmed=False), PAGES_QUERY, 10))
+
+
+def match_batch(spark: SparkSession, d: str) -> DataFrame:
+    queries = adapters.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return ranking.match_batch(_index(spark, d), queries, 5).select("query", "path", r6("score"), F.col("matched").cast("long").alias("matched"), F.col("rank").cast("long").alias("rank"))
+
+
+def match_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    return _top(ranking.match(ranking.build_index(adapters.documents(spark, d)), QUERY, 10))
+
+
+def list_described(spark: SparkSession, d: str) -> DataFrame:
+    return listing.rows(listing.list_documents(adapters.documents(spark, d)))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files with front matter: every third without a description, every seventh broken off."""
+    ship(spark)
+    docs = adapters.documents(spark, d)
+    number = F.regexp_extract("path", r"doc_(\d+)", 1).cast("long")
+    head = F.concat(F.lit("---\nname: '"), F.replace(F.col("name"), F.lit("'"), F.lit(" ")), F.lit("'\n"))
+    described = F.when(number % 3 == 0, "").otherwise(F.concat(F.lit("description: d"), F.regexp_replace("description", r"\s+", " "), F.lit("\n")))
+    return docs.select("path", F.concat(head, described, F.when(number % 7 == 0, "").otherwise("---\n"), F.col("body"), F.lit("\nSee `src1/en/` and [one](../en/doc_1.md#missing).\n")).alias("content"))
+
+
+def lint_max_lines(spark: SparkSession, d: str) -> DataFrame:
+    files = adapters.documents(spark, d).select("path", F.col("body").alias("content"))
+    return lint.line_findings(lint.with_policy(files, parse(RULES))).select(*lint.COLUMNS)
+
+
+def lint_field_max_chars(spark: SparkSession, d: str) -> DataFrame:
+    """Names and descriptions of documents beyond their path's limit."""
+    docs = adapters.documents(spark, d)
+    known = docs.withColumn("policy", parse(RULES).policy(F.col("path")))
+    values = known.select("path", "policy", F.explode(F.create_map(F.lit("name"), "name", F.lit("description"), "description")).alias("field", "value"))
+    limits = values.withColumn("limit", F.try_element_at(F.filter("policy.field_max_chars", lambda x: x["field"] == F.col("field")), F.lit(1))["max_chars"])
+    return limits.where(F.length("value") > F.col("limit")).select("path", "field", F.length("value").cast("long").alias("n"), F.col("limit").cast("long").alias("limit"))
+
+
+def lint_required_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Required fields that documents lack, where a name needs more than one line of text."""
+    docs = adapters.documents(spark, d)
+    keys = F.array_compact(F.array(F.when(F.col("body").contains("\n"), F.lit("name")), F.when(F.length("body") > 2000, F.lit("description"))))
+    need = docs.select("path", F.explode(parse(RULES).policy(F.col("path"))["required"]).alias("field"))
+    have = docs.select("path", F.explode(keys).alias("field"))
+    return need.join(have, ["path", "field"], "left_anti")
+
+
+def rule_policy_fold(spark: SparkSession, d: str) -> DataFrame:
+    p = parse(RULES).policy(F.col("path"))
+    docs = adapters.documents(spark, d).select("path", p.alias("p"))
+    return docs.select(
+        "path", "p.backtick_severity", "p.prefer_links", F.coalesce("p.max_lines", F.lit(0)).alias("max_lines"), "p.max_lines_severity", F.array_join("p.ignored", ",").alias("ignored"), F.array_join("p.required", ",").alias("required"),
+        F.array_join(F.transform("p.field_max_chars", lambda x: F.concat_ws("=", x["field"], x["max_chars"].cast("string"))), ",").alias("field_max_chars"),
+    )
+
+
+def glob_self_vs_ancestor(spark: SparkSession, d: str) -> DataFrame:
+    patterns = compile_patterns(["src1", "src2/en/", "doc_*3.md", "!src1/de", "src[3-4]/**/doc_?.md"])
+    path = F.col("path")
+    return adapters.documents(spark, d).select("path", taken(patterns, path).alias("itself"), taken(patterns, path, parents=True).alias("or_parent"))
+
+
+def _hrefs(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, n, file, ref): the targets of a page's links in order, twice: as they are, and without their host."""
+    pages = adapters.table(spark, d, "pages")
+    refs = pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1).alias("file"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("n", "ref"))
+    bare = refs.select("page_id", (F.col("n") + 100_000).alias("n"), "file", F.regexp_replace("ref", "^https?://[^/]*/", "../").alias("ref"))
+    return refs.unionByName(bare)
+
+
+def page_links_classified(spark: SparkSession, d: str) -> DataFrame:
+    config = default()
+    ref, link = F.trim("ref"), F.lit(True)
+    return _hrefs(spark, d).select(
+        "page_id", F.col("n").cast("long").alias("n"), "ref", R.is_external(ref).alias("external"), R.is_candidate(ref, link, config.extensions, config.filenames).alias("as_link"),
+        R.is_candidate(ref, F.lit(False), config.extensions, config.filenames).alias("as_code"), R.syntax(R.path_text(ref, link)).alias("syntax"), R.anchor(ref, link).alias("anchor"),
+    )
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    config = default()
+    ref, link = F.trim("ref"), F.lit(True)
+    return _hrefs(spark, d).where(R.is_candidate(ref, link, config.extensions, config.filenames)).select("page_id", F.col("n").cast("long").alias("n"), "ref", R.target(F.col("file"), ref, link).alias("target"), R.is_folder_like(ref, link).alias("folder_like"))
+
+
+def page_links_resolved(spark: SparkSession, d: str) -> DataFrame:
+    return _targets(spark, d)
+
+
+def unresolved_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links to paths that no page has, by how many there are of each."""
+    pages = adapters.table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]*/([^?#]*)", 1).alias("path"))
+    known = lint.existing_paths(pages.where("path != ''")).select(F.col("path").alias("target"))
+    return _targets(spark, d).where("target is not null and not folder_like").join(known, "target", "left_anti").groupBy("target").agg(F.count("*").alias("n"))
+
+
+def anchor_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's lines as headings: anchors with numbers for those that repeat."""
+    docs = adapters.documents(spark, d).select("path", F.posexplode(F.split("body", "\n")).alias("n", "title"))
+    base = docs.select("path", F.col("n").cast("long").alias("n"), text.slug(F.trim(F.translate("title", "<>*_`[]!\\#&~|", ""))).alias("slug"))
+    again = F.row_number().over(ranking.Window.partitionBy("path", "slug").orderBy("n")) - 1
+    return base.select("path", "n", F.when(again > 0, F.concat_ws("-", "slug", again.cast("string"))).otherwise(F.col("slug")).alias("anchor"))
+
+
+def _line_and_field_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings by built-in functions only: lines beyond the limit, and fields that are missing, which count as fixable here."""
+    lines = lint_max_lines(spark, d).select("file", "severity", "rule", "fixable")
+    missing = lint_required_fields(spark, d).select(F.col("path").alias("file"), F.lit("error").alias("severity"), F.lit("frontmatter-field-missing").alias("rule"), F.lit(True).alias("fixable"))
+    return lines.union(missing)
+
+
+def fix_summary(spark: SparkSession, d: str) -> DataFrame:
+    return fix.summary(_line_and_field_findings(spark, d)).select("count", F.array_join("rules", ",").alias("rules"))
+
+
+def run_status(spark: SparkSession, d: str) -> DataFrame:
+    found = _line_and_field_findings(spark, d)
+    both = lint.status(found).withColumn("mode", F.lit("lint")).union(lint.status(found, fixing=True).withColumn("mode", F.lit("fix")))
+    return both.select("mode", "errors", "warnings", "fixable", F.array_join("rules", ",").alias("rules"), "failed")
+
+
+def edit_overlap_check(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as edits of their order's file: where one reaches into the next."""
+    items = adapters.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_partkey") % 1000).alias("start"), (F.col("l_partkey") % 1000 + F.col("l_quantity").cast("long")).alias("end"))
+    return fix.overlaps(items)
+
+
+def lint_max_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Token budgets by the vocabulary at hand, which stands in for the one that rule files are meant for."""
+    import public_tokenizers
+
+    from marginalia.functions.tokens import TokenCounter, count_tokens
+
+    counter = TokenCounter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    files = adapters.documents(spark, d).select("path", F.col("body").alias("content"))
+    rules = parse('[[rules]]\npath = "*.md"\nmax-tokens = 2000\nseverity = "warn"\n')
+    found = lint.token_findings(lint.with_policy(files, rules), count_tokens(counter))
+    return found.select(*lint.COLUMNS, F.lit(counter.name).alias("vocabulary"))
+
+
+def frontmatter_parse(spark: SparkSession, d: str) -> DataFrame:
+    parsed = _files(spark, d).select("path", frontmatter("content").alias("f"))
+    return parsed.select("path", "f.status", "f.malformed_line", F.transform("f.fields", lambda x: x["key"]).alias("keys"))
+
+
+def nodes_of_files(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d).select("path", F.inline(markdown_nodes("content")), F.size(heading_anchors("content")).alias("headings"))
+
+
+def _lint(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    files = _files(spark, d)
+    rules = parse(RULES + '\n[[rules]]\npath = "src3/"\nenable = ["prefer-links-for-local-paths"]\n')
+    return files, lint.findings(files, files.select("path"), rules)
+
+
+def lint_files(spark: SparkSession, d: str) -> DataFrame:
+    return _lint(spark, d)[1].select(*lint.COLUMNS)
+
+
+def fix_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    files, found = _lint(spark, d)
+    return fix.rewrites(files, found)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = (
+        corpus_documents, tokenize_explode, compound_expand, field_term_freq, field_lengths, doc_frequency, corpus_stats, idf_table, match_topk, match_explain, match_duplicate_terms, match_scoped, match_exclude, match_parts, match_pages,
+        match_batch, match_stemmed, list_described, lint_max_lines, lint_field_max_chars, lint_required_fields, rule_policy_fold, glob_self_vs_ancestor, page_links_classified, page_links_resolved, unresolved_links, anchor_slugs, fix_summary, run_status,
+        edit_overlap_check, lint_max_tokens, frontmatter_parse, lint_files, fix_rewrite,
+    )
+    return {f.__name__: f for f in found} | {"markdown_nodes": nodes_of_files}
+
