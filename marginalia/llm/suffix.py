@@ -14,7 +14,7 @@ bucket is sorted on its own, so memory follows the largest bucket, not the corpu
    cover samples, computed first for the positions of a difference cover modulo PERIOD, and by the
    PERIOD bytes in which the string ends. Positions count from the anchor, so two suffixes that tie
    have their samples at equal distances. Neighbours are then compared byte by byte.
-   A bucket with more than CROWD runs is not put in one task: a row for each of its suffixes, with a
+   A bucket with more than ``crowd`` runs is not put in one task: a row for each of its suffixes, with a
    128-bit hash, is aggregated before the shuffle.
 """
 
@@ -37,8 +37,8 @@ GRAM, PERIOD = 32, 64
 STEP = 8
 #: Bytes of texts that are hashed at once, and of runs that are sorted at once.
 SLICE, SORTED = 1 << 18, 1 << 20
-#: Runs of a bucket beyond which it isn't sorted in one task.
-CROWD = 128
+#: Runs of a bucket beyond which it isn't sorted in one task: a few MB, and some hundred thousand suffixes.
+CROWD = 8192
 _random = np.random.default_rng(20240229)
 #: A random odd number for each byte, and two odd multipliers.
 BYTES = _random.integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,7 +174,7 @@ def sort_bucket(bucket: np.ndarray, texts: list[bytes], low: np.ndarray, high: n
     return run[good], (low[run] - offset)[good]
 
 
-def repeated_spans(docs: DataFrame, size: int = 200) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = 200, crowd: int = CROWD) -> DataFrame:
     """(key, start, end): ranges of documents' bytes covered by repeated strings; they may overlap."""
     found = materialize(suspects(docs, size), "suspects")
     place = F.struct("key", "pos")
@@ -182,7 +182,7 @@ def repeated_spans(docs: DataFrame, size: int = 200) -> DataFrame:
     kinds = materialize(kinds.select("h", "c", "first", "lo", "hi", (F.col("first") < F.col("last")).alias("often")), "kinds")
     whole = found.join(kinds.where("often").select("h", "c"), ["h", "c"], "left_semi").select("key", (F.col("pos") - F.col("lo")).alias("start"), (F.col("pos") - F.col("hi") + size).alias("end"))
     needy = kinds.groupBy("h").agg(F.count("*").alias("n"), F.min("often").alias("all")).where("n > 1 and not all").select("h", "n")
-    wanted = kinds.join(needy, "h").select(F.col("first.key").alias("key"), F.struct("h", "c", (F.col("n") > CROWD).alias("crowd"), F.col("first.pos").alias("pos"), "lo", "hi").alias("run"))
+    wanted = kinds.join(needy, "h").select(F.col("first.key").alias("key"), F.struct("h", "c", (F.col("n") > crowd).alias("crowd"), F.col("first.pos").alias("pos"), "lo", "hi").alias("run"))
     lists = materialize(wanted.groupBy("key").agg(F.collect_list("run").alias("runs")), "wanted")
     bytes_of = materialize(contexts(with_lists(docs, lists, "runs"), size), "contexts")
     return whole.unionByName(sorted_spans(bytes_of.where("not crowd"), size)).unionByName(crowded_spans(bytes_of.where("crowd"), size))
@@ -280,7 +280,7 @@ def crowded_spans(runs_with_bytes: DataFrame, size: int) -> DataFrame:
     return map_arrow(hit, join, "key long, start int, end int", 100_000)
 
 
-def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 200, crowd: int = CROWD) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (bytes).
 
     A null or empty text, or one of fewer than size bytes, loses nothing. Rows that are equal in
@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
     their names, are not read.
     """
     keyed = docs.select(F.xxhash64(key_of("doc_id"), utf8("text")).alias("key"), utf8("text").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    gone = repeated_spans(keyed.select("key", "text"), size).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    gone = repeated_spans(keyed.select("key", "text"), size, crowd).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     joined = keyed.join(gone.hint("shuffle_hash"), "key", "left")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
