@@ -72,17 +72,17 @@ def dedup_lines(docs: DataFrame, min_points: int = 10) -> DataFrame:
     are one document, after all others; rows that repeat a doc_id are one document too. If docs
     already has columns of these names, the new ones replace them.
     """
-    own = [c for c in docs.columns if c not in ("kept", "n_lines", "n_dropped", "_key", "_lines")]
+    own = [c for c in docs.columns if c not in ("kept", "n_lines", "n_dropped", "_marginalia_key", "_marginalia_lines")]
     keyed = docs.select(key_of("doc_id").alias("key"), utf8("text").alias("text"))
-    lost = drops(keyed, min_points).select(F.col("key").alias("_key"), F.col("lines").alias("_lines"))
-    joined = docs.select(*own, key_of("doc_id").alias("_key")).join(lost.hint("shuffle_hash"), "_key", "left")
+    lost = drops(keyed, min_points).select(F.col("key").alias("_marginalia_key"), F.col("lines").alias("_marginalia_lines"))
+    joined = docs.select(*own, key_of("doc_id").alias("_marginalia_key")).join(lost.hint("shuffle_hash"), "_marginalia_key", "left")
     schema = joined.select(*own).schema
-    at = {name: joined.columns.index(name) for name in (*own, "_lines")}
+    at = {name: joined.columns.index(name) for name in (*own, "_marginalia_lines")}
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, lines, dropped = [], [], []
-            for text, lost in zip(batch.column(at["text"]).cast(pa.binary()).to_pylist(), batch.column(at["_lines"]).to_pylist(), strict=True):
+            for text, lost in zip(batch.column(at["text"]).cast(pa.binary()).to_pylist(), batch.column(at["_marginalia_lines"]).to_pylist(), strict=True):
                 text = text or b""
                 if not lost:
                     kept.append(text)

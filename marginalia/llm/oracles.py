@@ -27,11 +27,11 @@ windows AS (
     SELECT item_id, unnest(CASE WHEN len(w) >= 13 THEN [w[i:i + 12] for i in range(1, len(w) - 11)] ELSE [w] END) AS win FROM b WHERE len(w) > 0)
 ), sizes AS (SELECT DISTINCT size FROM windows),
 occurring AS (
-  SELECT p.rid, p.at, p.size, windows.item_id FROM (
-    SELECT rid, size, at, w[at:at + size - 1] AS win FROM (
-      SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM d, sizes WHERE len(w) >= size)) p
+  SELECT p.rid, p.st, p.size, windows.item_id FROM (
+    SELECT rid, size, st, w[st:st + size - 1] AS win FROM (
+      SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS st FROM d, sizes WHERE len(w) >= size)) p
   JOIN windows ON p.win = windows.win AND p.size = windows.size
-), hit AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(at, at + size)) AS pos FROM occurring) GROUP BY rid),
+), hit AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(st, st + size)) AS pos FROM occurring) GROUP BY rid),
 named AS (SELECT rid, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM occurring GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items,
   sha256(coalesce(named.ids, '')) AS items_sha256, coalesce(hit.n > 0 AND 20 * hit.n >= len(w), false) AS contaminated
