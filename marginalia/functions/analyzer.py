@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.functions.porter2 import stem
 from marginalia.runtime import ship
@@ -101,7 +102,7 @@ def explode_terms(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return out.where((F.col("raw") != "") & ~F.col("raw").isin(*STOPWORDS))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _stems(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in words:
         yield part.map(stem)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class TokenCounter:
@@ -32,7 +33,7 @@ class TokenCounter:
 def count_tokens(counter: TokenCounter) -> Callable[[Column], Column]:
     """A column function for the tokens of whole texts; a worker builds the encoding once."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = counter.encoding()
         for part in texts:

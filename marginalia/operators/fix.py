@@ -8,6 +8,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.runtime import ship
 
@@ -32,7 +33,7 @@ def apply(content: str, edits: list[tuple[int, int, str]]) -> str:
     return data.decode()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _rewrite(content: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, lists in content:
         yield pd.Series([apply(t, [(e["start"], e["end"], e["replacement"]) for e in edits]) for t, edits in zip(texts, lists, strict=True)])

@@ -12,8 +12,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marginalia.functions import text as T
+from marginalia.functions import text as X
 from marginalia.functions.frontmatter import frontmatter
 from marginalia.functions.markdown import heading_anchors, markdown_nodes
 from marginalia.operators import references as R
@@ -59,7 +60,7 @@ def token_findings(files: DataFrame, count: Callable[[Column], Column]) -> DataF
 
 
 def line_findings(files: DataFrame) -> DataFrame:
-    df = files.where("policy.max_lines is not null").withColumn("n", T.count_lines(F.col("content"))).where("n > policy.max_lines")
+    df = files.where("policy.max_lines is not null").withColumn("n", X.count_lines(F.col("content"))).where("n > policy.max_lines")
     text = F.format_string("File has %d lines, which exceeds configured max-lines = %d.", "n", "policy.max_lines")
     return _finding(df, 1, F.lit(""), F.col("policy.max_lines_severity"), "max-lines", text)
 
@@ -93,7 +94,7 @@ def reference_candidates(files: DataFrame, config: Config) -> DataFrame:
     ).where("target is not null")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _destinations(file: pd.Series, target: pd.Series, from_root: pd.Series, is_folder: pd.Series) -> pd.Series:
     return pd.Series([R.link_to(*row) for row in zip(file, target, from_root, is_folder, strict=True)])
 
@@ -132,7 +133,7 @@ def findings(files: DataFrame, all_paths: DataFrame, config: Config, count: Call
 
 def ordered(found: DataFrame) -> DataFrame:
     """Findings in output order: files by path component, then as they were met."""
-    return found.orderBy(T.components(F.col("file")), "seq.group", "seq.order", "rule").select(*COLUMNS)
+    return found.orderBy(X.components(F.col("file")), "seq.group", "seq.order", "rule").select(*COLUMNS)
 
 
 def status(found: DataFrame, fixing: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""BM25F over name, path and description.
+"""BM25F over name, folder and description.
 
 An index is built once: a row for each document and term, with its frequency in each field. A query
 joins its few terms to it. Statistics come from the same rows, after whatever selects the corpus; the
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.analyzer import analyze_text, explode_terms, stems_of
+from marginalia.functions.text import path_prefix
 
 #: The fields' weights and BM25's parameters.
 BOOSTS = {"name": 3, "description": 1, "path": 1}
@@ -60,11 +61,11 @@ class Index:
 
 
 def raw_terms(docs: DataFrame) -> DataFrame:
-    """(path, field, raw): a row for each term of each field. The path loses one ending .md."""
+    """(path, field, raw): a row for each term of each field. Of the path its folder counts, less one ending .md."""
     fields = F.array(
         F.struct(F.lit("name").alias("field"), F.col("name").alias("text")),
         F.struct(F.lit("description").alias("field"), F.col("description").alias("text")),
-        F.struct(F.lit("path").alias("field"), F.regexp_replace("path", r"\.md\z", "").alias("text")),
+        F.struct(F.lit("path").alias("field"), F.regexp_replace(path_prefix(F.col("path")), r"\.md\z", "").alias("text")),
     )
     return explode_terms(docs.select("path", F.explode(fields).alias("f")).select("path", "f.field", "f.text"), "text", ["path", "field"])
 

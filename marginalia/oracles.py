@@ -35,7 +35,7 @@ WHERE raw <> '' AND raw NOT IN ({quoted(STOPWORDS)})"""
 
 def index(docs: str = DOCS, where: str = "true") -> str:
     return rf"""WITH {docs.replace("docs AS", "all_docs AS", 1)}, docs AS (SELECT * FROM all_docs WHERE {where}),
-fields AS (SELECT path, 'name' AS field, name AS text FROM docs UNION ALL SELECT path, 'description', description FROM docs UNION ALL SELECT path, 'path', regexp_replace(path, '\.md\z', '') FROM docs),
+fields AS (SELECT path, 'name' AS field, name AS text FROM docs UNION ALL SELECT path, 'description', description FROM docs UNION ALL SELECT path, 'path', regexp_replace(regexp_extract(path, '^(.*)/[^/]*$', 1), '\.md\z', '') FROM docs),
 raws AS ({terms("fields", "path, field")}),
 postings AS (SELECT path, raw AS term, count(*) FILTER (WHERE field = 'name') AS n_name, count(*) FILTER (WHERE field = 'description') AS n_description, count(*) FILTER (WHERE field = 'path') AS n_path,
   (3 * count(*) FILTER (WHERE field = 'name') + count(*) FILTER (WHERE field <> 'name'))::BIGINT AS f FROM raws GROUP BY path, raw),
