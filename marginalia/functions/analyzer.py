@@ -81,9 +81,16 @@ def highlight(text: str, terms: set[str], begin: str = "\x1b[1m", end: str = "\x
     return "".join(out)
 
 
-def chunks(text: Column) -> Column:
-    """An array of a text's chunks, without possessive endings; some may be empty."""
-    return F.split(text, SEPARATORS)
+def parts(text: Column) -> Column:
+    """An array of a text's parts in lower case; some may be empty.
+
+    A chunk's possessive ending goes, then camel case is split. Both are done on the whole text, which
+    is read by each pattern once, rather than for each chunk.
+    """
+    chunk_end = rf"(?i)(?:'s|s')(?={SEPARATORS[:-1]}|\z)"
+    bare = F.when(F.contains(text, F.lit("'")), F.regexp_replace(text, chunk_end, "")).otherwise(text)
+    split = F.regexp_replace(F.regexp_replace(bare, "([a-z])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
+    return F.split(F.lower(split), SEPARATORS)
 
 
 def explode_terms(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -91,13 +98,12 @@ def explode_terms(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
     Explodes first and filters after, so each step is a plain projection inside generated code.
     """
-    ending = r"(?i)(?:'s|s')$"
-    part = F.explode(F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace("chunk", ending, ""), "([a-z])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2"), " "))
-    out = df.select(*keep, F.explode(chunks(F.col(text))).alias("chunk")).where("chunk != ''").select(*keep, part.alias("part"))
-    low = F.lower("part")
-    expanded = F.array(F.regexp_replace(low, ending, ""))
+    out = df.select(*keep, F.explode(parts(F.col(text))).alias("part")).where("part != ''")
+    part = F.col("part")
+    whole = F.when(F.contains(part, F.lit("'")), F.regexp_replace(part, "(?:'s|s')$", "")).otherwise(part)
+    expanded = F.array(whole)
     for compound, terms in COMPOUNDS.items():
-        expanded = F.when(low == compound, F.array(*map(F.lit, terms))).otherwise(expanded)
+        expanded = F.when(part == compound, F.array(*map(F.lit, terms))).otherwise(expanded)
     out = out.select(*keep, F.explode(expanded).alias("raw"))
     return out.where((F.col("raw") != "") & ~F.col("raw").isin(*STOPWORDS))
 
