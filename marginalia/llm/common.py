@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.runtime import ship
+from marginalia.runtime import ship, spread
 
 #: Sorts after every real id; stands for a null id while rows are grouped or joined.
 NO_ID = (1 << 63) - 1
@@ -43,7 +43,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt to all cores if it has fewer splits than there are."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
