@@ -9,9 +9,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch.
+BATCH = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the workers, once for a session's context; Spark serves the file."""
+    """Send this package to the workers, once for a session's context; Spark serves the file.
+
+    Arrow batches are kept small enough that a run of long texts fits a worker.
+    """
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     if getattr(context, "_marginalia_shipped", False):
         return
     root = Path(__file__).resolve().parent
