@@ -152,7 +152,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return map_arrow(files, run, "kind string, id string, url string, refers_to string, digest string, payload_bytes long, payload binary", 1)
+    return map_arrow(files, run, "kind string, id string, url string, refers_to string, digest string, payload_bytes long, payload binary", 8)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
