@@ -10,6 +10,7 @@ language, its score the posterior probability under equal priors.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -28,8 +29,10 @@ START = "▁"
 SHORT = 32
 #: Least probability of a piece, and that of a character that no piece covers.
 FLOOR, UNKNOWN = 1e-7, 1e-8
-#: Tokens that a worker remembers.
-MEMO = 400_000
+#: Tokens that a worker remembers; the first ones stay, as frequent tokens come early.
+MEMO = 800_000
+#: Becomes blank before texts are cut into tokens, so that a word with and without it is one token.
+MARKS = ".,;:!?()\"[]"
 
 
 def vocabulary(path: str) -> list[str]:
@@ -46,34 +49,46 @@ class Pieces:
         self.names = ["", *pieces]
         self.ids = {p[:k]: 0 for p in pieces for k in range(1, len(p))} | {p: i for i, p in enumerate(self.names) if i}
 
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(start, end, piece) of each piece in START + word."""
-        text, get, out = START + word, self.ids.get, []
-        n = len(text)
-        for i in range(n):
-            seen = False
-            for j in range(i + 1, n + 1):
+    def edges(self, word: str) -> Iterator[tuple[int, int, int]]:
+        """(start, end, piece) of each piece in START + word, by start."""
+        text, get = START + word, self.ids.get
+        for i in range(len(text)):
+            if not get(text[i]):
+                yield i, i + 1, 0
+            for j in range(i + 1, len(text) + 1):
                 piece = get(text[i:j])
                 if piece is None:
                     break
                 if piece:
-                    out.append((i, j, piece))
-                    seen = seen or j == i + 1
-            if not seen:
-                out.append((i, i + 1, 0))
-        return out
+                    yield i, j, piece
+
+    def codes(self, word: str, out: array) -> int:
+        """Append the edges of a short word as numbers, start << 32 | end << 24 | piece; returns how many."""
+        text, get, put, before = START + word, self.ids.get, out.append, len(out)
+        n = len(text)
+        for i in range(n):
+            piece, j, base = get(text[i]), i + 1, i << 32
+            put(base | j << 24 | (piece or 0))
+            while piece is not None and j < n:
+                j += 1
+                piece = get(text[i:j])
+                if piece:
+                    put(base | j << 24 | piece)
+        return len(out) - before
 
 
 class Lattice:
     """The edges of many words, in the order in which the forward algorithm needs them."""
 
     def __init__(self, pieces: Pieces, words: list[str]):
-        flat: list[int] = []
-        for n, word in enumerate(words):
-            for edge in pieces.edges(word):
-                flat += (n, *edge)
-        table = np.array(flat, dtype=np.int32).reshape(-1, 4)
-        self.word, self.start, self.end, self.piece = table[np.argsort(table[:, 2], kind="stable")].T
+        codes, size = array("q"), array("q")
+        for word in words:
+            size.append(pieces.codes(word, codes))
+        code = np.frombuffer(codes, np.int64) if len(codes) else np.empty(0, np.int64)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), np.frombuffer(size, np.int64) if len(size) else 0)
+        order = np.argsort((code >> 24 & 255).astype(np.uint8), kind="stable")
+        code, self.word = code[order], word[order]
+        self.start, self.end, self.piece = (code >> 32).astype(np.int32), (code >> 24 & 255).astype(np.int32), (code & 0xFFFFFF).astype(np.int32)
         self.length = np.array([len(w) + 1 for w in words], dtype=np.int32)
         self.width = int(self.length.max(initial=0))
         self.cuts = np.searchsorted(self.end, np.arange(self.width + 2))
@@ -92,9 +107,13 @@ class Lattice:
     def backward(self, prob: np.ndarray) -> np.ndarray:
         beta = np.zeros((len(self.length), self.width + 1, prob.shape[1]))
         beta[np.arange(len(self.length)), self.length] = 1
-        for at in range(self.width, 0, -1):
-            part = slice(self.cuts[at], self.cuts[at + 1])
-            np.add.at(beta, (self.word[part], self.start[part]), beta[self.word[part], at] * prob[self.piece[part]])
+        by_start = np.argsort(self.start * np.int64(len(self.length) + 1) + self.word, kind="stable")
+        cuts = np.searchsorted(self.start[by_start], np.arange(self.width + 1))
+        for at in range(self.width - 1, -1, -1):
+            part = by_start[cuts[at] : cuts[at + 1]]
+            word = self.word[part]
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            beta[word[first], at] = np.add.reduceat(beta[word, self.end[part]] * prob[self.piece[part]], first, axis=0)
         return beta
 
 
@@ -138,34 +157,49 @@ class Model:
             reach = max(reach, end)
         return scale + np.log(alpha[n])
 
-    def tokens(self, tokens: Iterable[str]) -> None:
-        """Remember what each token adds to a text's score: the sum over its words."""
+    def tokens(self, tokens: Iterable[str]) -> tuple[dict[str, int], np.ndarray]:
+        """(numbers of the tokens that weren't known, rows): what each token adds to a text's score.
+
+        A token adds the sum over its words. Rows of tokens that are remembered come first.
+        """
         new = [t for t in tokens if t not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo, self.rows = {}, np.zeros((0, len(self.langs)))
-            new = list(tokens)
         if not new:
-            return
-        parts = [LETTERS.findall(t) for t in new]
-        words = list(dict.fromkeys(w for p in parts for w in p))
-        value = dict(zip(words, self.log_words(words), strict=True)) if words else {}
-        none = np.zeros(len(self.langs))
-        rows = np.array([value[p[0]] if len(p) == 1 else sum((value[w] for w in p), none) for p in parts])
-        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
-        self.rows = np.concatenate([self.rows, rows])
+            return {}, self.rows
+        parts = [(t,) if t.isalpha() else LETTERS.findall(t) for t in new]
+        words = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
+        value = self.log_words(list(words)) if words else np.zeros((0, len(self.langs)))
+        flat = np.array([words[w] for p in parts for w in p], dtype=np.int64)
+        size = np.array([len(p) for p in parts])
+        rows = np.zeros((len(new), len(self.langs)))
+        if len(flat):
+            rows[size > 0] = np.add.reduceat(value[flat], (np.cumsum(size) - size)[size > 0], axis=0)
+        kept = min(len(new), max(0, MEMO - len(self.memo)))
+        at = len(self.memo)
+        if at + kept > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(kept, len(self.rows)), len(self.langs)))])
+        self.rows[at : at + kept] = rows[:kept]
+        self.memo.update(zip(new[:kept], range(at, at + kept), strict=True))
+        extra = dict(zip(new[kept:], range(len(self.rows), len(self.rows) + len(new) - kept), strict=True))
+        return extra, np.concatenate([self.rows, rows[kept:]]) if extra else self.rows
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; und and 0 for null, for no letters and for an empty model."""
-        split = [(t or "").lower().split() for t in texts]
         if not self.langs:
             return [("und", 0.0)] * len(texts)
-        self.tokens({t for s in split for t in s})
+        split = []
+        for text in texts:
+            plain = (text or "").lower()
+            for mark in MARKS:
+                plain = plain.replace(mark, " ")
+            split.append(plain.split())
+        extra, rows = self.tokens({t for s in split for t in s})
+        number = self.memo.__getitem__ if not extra else lambda t: self.memo[t] if t in self.memo else extra[t]
         out = []
         for text, s in zip(texts, split, strict=True):
             if not s or not LETTERS.search(text):
                 out.append(("und", 0.0))
                 continue
-            total = self.rows[np.fromiter(map(self.memo.__getitem__, s), np.int64, len(s))].sum(axis=0)
+            total = rows[np.fromiter(map(number, s), np.int64, len(s))].sum(axis=0)
             best = int(total.argmax())
             out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
         return out
