@@ -31,7 +31,7 @@ MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 OBFUSCATED = re.compile(rb"[A-Za-z][A-Za-z]*[0-9@$!*|][A-Za-z0-9@$!*|]*[A-Za-z]")
 PLAIN = bytes.maketrans(b"013457@$!|ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"oieastasiiabcdefghijklmnopqrstuvwxyz")
 #: Bytes of a word's beginnings that may be learned.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 #: Words between a lexicon word and a second person that are still near.
 NEAR = 5
 FEATURES = 13
@@ -193,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: F.Column, per_label: int
     """Learn from labelled documents that aren't held out.
 
     Bound of the sample, whatever the input: about per_label documents of each label, chosen by a
-    hash of doc_id. Half of them give the learned words, a third grows the trees, the rest calibrates.
+    hash of doc_id. Half of them give the learned words. The others grow the trees; for the
+    calibration, each half of these is scored by trees of the other.
     A document with labels of both kinds isn't used. Without labels of both kinds scores follow from
     the few that there are, or are 0.5.
     """
@@ -214,9 +215,12 @@ def train(docs: DataFrame, labels: DataFrame, held_out: F.Column, per_label: int
     rows.sort(key=lambda r: (r["part"], r["x"]))
     x = np.array([r["x"] for r in rows]).reshape(-1, FEATURES)
     y = np.array([r["toxic"] for r in rows], dtype=np.float64)
-    grow = np.array([r["part"] for r in rows]) < 0.5 + 1 / 3
-    trees = Trees(x[grow], y[grow])
-    return Model(features, trees, Isotonic(trees.margin(x[~grow]), y[~grow]))
+    half = np.array([r["part"] for r in rows]) < 0.75
+    margin = np.zeros(len(rows))
+    for fold in (half, ~half):
+        if fold.any():
+            margin[fold] = Trees(x[~fold], y[~fold]).margin(x[fold])
+    return Model(features, Trees(x, y), Isotonic(margin, y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
