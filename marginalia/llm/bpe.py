@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 #: Pieces, and pieces between single spaces, that a worker remembers; longer ones than MEMO_BYTES it doesn't.
-MEMO, MEMO_BYTES = 1_000_000, 64
+MEMO, MEMO_BYTES = 600_000, 64
 #: A single space that starts a match of the pattern.
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
 #: Pairs of tokens that a worker remembers.
-PAIRS = 2_000_000
+PAIRS = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

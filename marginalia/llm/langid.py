@@ -30,7 +30,7 @@ SHORT = 32
 #: Least probability of a piece, and that of a character that no piece covers.
 FLOOR, UNKNOWN = 1e-7, 1e-8
 #: Tokens that a worker remembers; the first ones stay, as frequent tokens come early.
-MEMO = 800_000
+MEMO = 400_000
 #: Becomes blank before texts are cut into tokens, so that a word with and without it is one token.
 MARKS = ".,;:!?()\"[]"
 
