@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from marginalia import render
+from marginalia.functions.tokens import O200K, TokenCounter, count_tokens
 from marginalia.operators import fix as fixing
 from marginalia.operators import lint as linting
 from marginalia.operators import listing, ranking
@@ -49,6 +50,8 @@ def parser() -> argparse.ArgumentParser:
         sub = command(name)
         sub.add_argument("targets", nargs="*", default=["."])
         sub.add_argument("--color", choices=("auto", "always", "never"), default="auto")
+        sub.add_argument("--vocabulary", help="file in the tiktoken format by which token budgets are checked")
+        sub.add_argument("--pattern", default=O200K, help="pattern by which the vocabulary splits texts; that of o200k_base if not given")
     return out
 
 
@@ -113,9 +116,12 @@ def _lint(args, spark, root, config, respect, targets, cwd, out) -> int:
     files = repo.read_files(spark, root, paths).persist()
     bodies = repo.read_files(spark, root, [p for p in everything if p.lower().endswith((".md", ".markdown", ".mdown", "/readme")) or p.lower() == "readme"])
     listed = spark.createDataFrame([(p,) for p in everything], "path string")
-    found = linting.findings(files, listed, config, bodies=bodies).persist()
+    counter = TokenCounter(args.vocabulary, args.pattern) if args.vocabulary else None
+    found = linting.findings(files, listed, config, count_tokens(counter) if counter else None, bodies).persist()
     for r in linting.ordered(found).collect():
         out(render.diagnostic(r))
+    if budgets := linting.token_budgets(files, config):
+        out(render.token_note(budgets, counter.name if counter else None))
     fix = args.command == "fix"
     status = linting.status(found, fixing=fix).first()
     if fix:
@@ -128,7 +134,7 @@ def _lint(args, spark, root, config, respect, targets, cwd, out) -> int:
 def main() -> None:
     try:
         sys.exit(run())
-    except (ValueError, RuntimeError) as bad:
+    except (ValueError, RuntimeError, OSError) as bad:
         print(bad, file=sys.stderr)
         sys.exit(2)
 

@@ -59,6 +59,11 @@ def token_findings(files: DataFrame, count: Callable[[Column], Column]) -> DataF
     return _finding(df, 0, F.lit(""), F.col("policy.max_tokens_severity"), "max-tokens", text)
 
 
+def token_budgets(files: DataFrame, config: Config) -> int:
+    """How many of the files have a token budget."""
+    return with_policy(files, config).where("policy.max_tokens is not null").count()
+
+
 def line_findings(files: DataFrame) -> DataFrame:
     df = files.where("policy.max_lines is not null").withColumn("n", X.count_lines(F.col("content"))).where("n > policy.max_lines")
     text = F.format_string("File has %d lines, which exceeds configured max-lines = %d.", "n", "policy.max_lines")

@@ -42,3 +42,11 @@ def fix_hint(count: int, rules: Iterable[str], targets: Iterable[str]) -> str |
         return None
     command = " ".join(["marginalia", "fix", *map(shell_escape, targets)])
     return f"{count} fixable finding{'s' if count != 1 else ''} ({', '.join(sorted(rules))}); run `{command}`"
+
+
+def token_note(files: int, vocabulary: str | None) -> str:
+    """By which vocabulary token budgets were checked, or that they weren't."""
+    of = f"max-tokens of {files} file{'s' if files != 1 else ''}"
+    if vocabulary is None:
+        return f"{of} not checked: no --vocabulary given"
+    return f"{of} checked by the vocabulary {vocabulary}"
