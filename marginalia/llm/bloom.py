@@ -3,7 +3,9 @@
 Each task fills a filter "once", and a filter "twice" with keys that were in the first already.
 Filters of tasks merge bit by bit: what is in either "twice", or in both "once", goes into the
 merged "twice". So a filter may hold more than it should, never less. Its size is bounded whatever
-the input; more input only makes it less sharp.
+the input; more input only makes it less sharp, in the end so that all keys go on to the exact step. That
+step is a plain aggregation of narrow rows, so its cost stays in proportion to the input; reading the input
+again for each of several ranges of hashes would cost more than it saves.
 """
 
 from __future__ import annotations
@@ -104,3 +106,22 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits:
     for row in map_arrow(parts.repartition(F.col("piece")), merge, "piece long, bits binary").toLocalIterator():
         out[row.piece * piece : (row.piece + 1) * piece] = np.frombuffer(row.bits, np.uint8)
     return out
+
+
+def apart(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df that may have one of the keys, rows that have none); the key is df's first column, a long, and keys' only one.
+
+    The second part needs no join, so it isn't shuffled. df is read twice, once for each part.
+    """
+    bits = bits_for(keys, 4)
+    once = df.sparkSession.sparkContext.broadcast(build(keys, lambda b: spread(b.column(0).to_numpy().view(np.uint64)), bits, twice=False))
+
+    def keep(wanted: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = holds(once.value, probes(spread(batch.column(0).to_numpy().view(np.uint64)), bits))
+                yield batch.filter(pa.array(found == wanted))
+
+        return run
+
+    return map_arrow(df, keep(True), df.schema), map_arrow(df, keep(False), df.schema)

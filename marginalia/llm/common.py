@@ -14,6 +14,10 @@ from marginalia.runtime import ship, spread
 
 #: Sorts after every real id; stands for a null id while rows are grouped or joined.
 NO_ID = (1 << 63) - 1
+#: Bytes of a slice of a batch, beyond a single row.
+SLICE_BYTES = 8 << 20
+#: Values that join_hot() broadcasts at most, and rows below which none is hot.
+HOT_KEYS, HOT_ROWS = 20_000, 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,11 +51,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """A working table of df with a column row, a number of its own for each row that stays when it is read again."""
+    return materialize(df.withColumn("row", F.monotonically_increasing_id()), name)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most rows rows and about SLICE_BYTES bytes, one row at least."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
-    """mapInArrow with batches small enough that a run of long texts fits a worker."""
+    """mapInArrow over slices of batches, which bound what fn holds at once.
+
+    Spark itself ends a batch at spark.sql.execution.arrow.maxBytesPerBatch (64 MB if not set), read when
+    the plan runs; no setting of the session is changed here.
+    """
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(sliced(batches, rows)), schema)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, count: str) -> DataFrame:
+    """Inner join of left with right, which has one row for each value of on, without hot tasks.
+
+    right's column count says how many rows of left have the value, and is dropped. Values with more than
+    a HOT_KEYS-th of all rows are HOT_KEYS at most, whatever the input, so their rows of right are broadcast,
+    and left's rows with them stay where they are; only the others are shuffled. Both tables are read
+    twice, so they should be working tables or cheap scans.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    fields = [c for c in right.columns if c not in (on, count)]
+    hot = right.where(F.col(count) > limit).select(on, F.struct(*fields).alias("_hot"))
+    if hot.isEmpty():
+        return left.join(right.drop(count), on)
+    marked = left.join(F.broadcast(hot), on, "left")
+    own = [c for c in left.columns if c != on]
+    met = marked.where("_hot is not null").select(on, *own, *(F.col(f"_hot.{f}").alias(f) for f in fields))
+    rest = marked.where("_hot is null").select(on, *own).join(right.where(F.col(count) <= limit).drop(count), on)
+    return met.unionByName(rest)
 
 
 def key_of(column: str) -> F.Column:

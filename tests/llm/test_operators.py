@@ -253,14 +253,66 @@ def test_repeats_random(spark):
         assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found.collect()) == sorted(brute.repeats(rows))
 
 
+def test_suffix_order():
+    """The buckets' suffixes come in the order of their bytes, and every repeat is found."""
+    rng = random.Random(4)
+    for _ in range(60):
+        texts, low, high, bucket = [], [], [], []
+        letters = rng.choice([b"a", b"ab", b"abcdefgh"])
+        for b in range(rng.randrange(1, 4)):
+            base = bytes(rng.choices(letters, k=700))
+            for _ in range(rng.randrange(1, 12)):
+                far = rng.randrange(169)
+                near = rng.randrange(far + 1)
+                text = bytearray(base[300 - far : 500 - near])
+                if rng.random() < 0.5:
+                    text[rng.randrange(len(text))] = rng.choice(b"az\0")
+                texts.append(bytes(text))
+                low.append(far)
+                high.append(near)
+                bucket.append(b)
+        low, high, bucket = map(np.array, (low, high, bucket))
+        found = suffix.Bucketed(bucket, texts, low, high, 200)
+        got = [(int(bucket[r]), texts[r][o:]) for r, o in zip(found.run[found.order], found.offset[found.order], strict=True)]
+        assert got == sorted(got)
+        seen = {}
+        for i, text in enumerate(texts):
+            for d in range(low[i], high[i] - 1, -1):
+                seen.setdefault((bucket[i], text[low[i] - d :][:200]), []).append((i, d))
+        run, distance = suffix.sort_bucket(bucket, texts, low, high, 200)
+        assert set(zip(run.tolist(), distance.tolist(), strict=True)) == {x for v in seen.values() if len(v) > 1 for x in v}
+
+
 def test_repeats_without_ids(spark):
+    """Each row is a document of its own: copies with one id, or none, are repeats, alone or beside a text that differs."""
     rng = random.Random(12)
-    text = words(rng, 80)
-    found = suffix.remove_repeats(documents(spark, [(1, text), (1, text), (None, "a" + text), (None, words(rng, 80)), (None, None)]))
-    assert sorted((r.n_bytes, r.n_removed) for r in found.collect()) == sorted([(len(text), len(text)), (len(text), len(text)), (len(text) + 1, len(text)), (0, 0), (found.where("n_removed = 0 and n_bytes > 0").first().n_bytes, 0)])
+    text, other = words(rng, 80), words(rng, 80)
+    rows = [(1, text), (1, text), (None, "a" + text), (None, words(rng, 80)), (None, None), (None, other), (None, other)]
+    found = suffix.remove_repeats(documents(spark, rows))
+    assert sorted((r.n_bytes, r.n_removed) for r in found.collect()) == sorted((n, gone) for _, n, gone, _, _ in brute.repeats(rows))
     assert suffix.remove_repeats(documents(spark, [(1, text)]).limit(0)).collect() == []
 
 
+def test_repeats_in_a_crowded_bucket(spark):
+    """A passage that many documents share, each with its own text around it, and some with the same."""
+    rng = random.Random(13)
+    passage = words(rng, 75, 3000)
+    rows = [(i, f"{rng.randrange(10**9)} " * rng.randrange(30) + passage + f" {rng.randrange(10**9) if i % 5 else 7}" * 25) for i in range(3 * suffix.CROWD)]
+    found = suffix.remove_repeats(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found) == sorted(brute.repeats(rows))
+
+
+def test_repeats_in_a_long_text(spark):
+    """A text of several slices, with repeats across their edges."""
+    rng = random.Random(14)
+    long = words(rng, 200_000, 10**6)
+    assert len(long) > 4 * suffix.SLICE
+    edge = suffix.SLICE - 199
+    rows = [(1, long), (2, long[edge - 150 : edge + 150]), (3, "x" + long[2 * edge - 100 : 2 * edge + 700] + "y"), (4, long[-250:])]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.remove_repeats(documents(spark, rows)).collect()}
+    assert got == {1: (300 + 800 + 250, 3), 2: (300, 1), 3: (800, 1), 4: (250, 1)}
+
+
 PRIVATE = [
     "mail a.b@c.de, x@y.z.w@q.org a@b.com_x@c.org @a.b a@b a@b. a@b..c", "ip 1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 0001.02.3.255 1..2.3.4 99999999999.1.1.1", "card 4111 1111 1111 1111, 4111-1111-1111-1111 4111111111111112 4111  1111", "tel +49 (30) 1234-5678. +1 2 +123456789 + 1 ++4930123456 +49 30 12345678901234567",
     "", None, "é 4111111111111111 é+4930123456 é", "GB82 WEST 1234 5698 7654 32 and DE89370400440532013000 xDE89370400440532013000", "1" * 3000, "a" * 3000 + "@", "1.2.3.4" * 50, "+1 ( " * 200 + "2", "a@b.c" * 60,
