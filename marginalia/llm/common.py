@@ -74,7 +74,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     return df.mapInArrow(lambda batches: fn(sliced(batches, rows)), schema)
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: str, count: str) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: str | list[str], count: str) -> DataFrame:
     """Inner join of left with right, which has one row for each value of on, without hot tasks.
 
     right's column count says how many rows of left have the value, and is dropped. Values with more than
@@ -82,16 +82,17 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, count: str) -> DataFram
     and left's rows with them stay where they are; only the others are shuffled. Both tables are read
     twice, so they should be working tables or cheap scans.
     """
+    on = [on] if isinstance(on, str) else on
     total = right.agg(F.sum(count)).first()[0] or 0
     limit = max(HOT_ROWS, total // HOT_KEYS)
-    fields = [c for c in right.columns if c not in (on, count)]
-    hot = right.where(F.col(count) > limit).select(on, F.struct(*fields).alias("_hot"))
+    fields = [c for c in right.columns if c not in (*on, count)]
+    hot = right.where(F.col(count) > limit).select(*on, F.struct(*fields).alias("_hot"))
     if hot.isEmpty():
         return left.join(right.drop(count), on)
     marked = left.join(F.broadcast(hot), on, "left")
-    own = [c for c in left.columns if c != on]
-    met = marked.where("_hot is not null").select(on, *own, *(F.col(f"_hot.{f}").alias(f) for f in fields))
-    rest = marked.where("_hot is null").select(on, *own).join(right.where(F.col(count) <= limit).drop(count), on)
+    own = [c for c in left.columns if c not in on]
+    met = marked.where("_hot is not null").select(*on, *own, *(F.col(f"_hot.{f}").alias(f) for f in fields))
+    rest = marked.where("_hot is null").select(*on, *own).join(right.where(F.col(count) <= limit).drop(count), on)
     return met.unionByName(rest)
 
 

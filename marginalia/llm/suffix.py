@@ -33,17 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import map_arrow, materialize, numbered, utf8
+from .common import join_hot, map_arrow, materialize, numbered, utf8
 
 #: Bytes of an anchor, and the period of the difference cover.
 GRAM, PERIOD = 32, 64
-#: The multiples of STEP and the numbers below it have all differences modulo PERIOD.
+#: The numbers below STEP and its multiples up to half a period have all differences modulo PERIOD.
 STEP = 8
 #: Whether a residue is in the cover, and for two residues the least step from both into the cover.
-COVER = np.array([r < STEP or r % STEP == 0 for r in range(PERIOD)])
+COVER = np.array([r < STEP or (r % STEP == 0 and 2 * r <= PERIOD) for r in range(PERIOD)])
 SHIFT = np.array([[next(d for d in range(PERIOD) if COVER[(a + d) % PERIOD] and COVER[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
 #: Bytes of texts that are hashed at once, and of runs that are sorted at once.
-SLICE, SORTED = 1 << 18, 1 << 20
+SLICE, SORTED = 1 << 18, 1 << 19
 #: Runs of a bucket beyond which it is split: a few hundred KB.
 CROWD = 2048
 _random = np.random.default_rng(20240229)
@@ -213,29 +213,38 @@ class Bucketed:
 
         A suffix's place in its group is the number of smaller ones in each residue, found by bisection.
         """
-        block = np.r_[0, np.cumsum((group[1:] != group[:-1]) | (residue[1:] != residue[:-1]))] if len(order) else group
-        first_block = block[np.searchsorted(group, group)]
-        mixed = np.flatnonzero(first_block != block[np.searchsorted(group, group, side="right") - 1])
-        if not len(mixed):
+        if not len(order):
             return order
-        at, of, mine = self.suffix[order], group[mixed], residue[mixed]
-        smaller = mixed - np.searchsorted(block, block[mixed])  # in its own residue
-        keys = group * PERIOD + residue
+        head = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (residue[1:] != residue[:-1])])  # where a residue of a group begins
+        several = np.bincount(group[head]) > 1  # groups of more than one residue
+        tail = np.r_[head[1:], len(order)]
+        head, tail = head[several[group[head]]], tail[several[group[head]]]
+        if not len(head):
+            return order
+        size = tail - head
+        block = np.repeat(np.arange(len(head)), size)
+        mixed = np.arange(len(block)) + np.repeat(head - np.cumsum(size) + size, size)
+        at, mine = self.suffix[order], residue[mixed]
+        key = group[head] * PERIOD + residue[head]
+        smaller = mixed - head[block]  # in its own residue
         for other in np.unique(mine):
-            low = np.searchsorted(keys, of * PERIOD + other)
-            high = np.searchsorted(keys, of * PERIOD + other, side="right")
-            begin, sought = low.copy(), mine != other
-            shift = SHIFT[mine, other]
-            value = self.rank[at[mixed] + shift]
-            high = np.where(sought, high, low)
+            sought = group[head] * PERIOD + other
+            place = np.minimum(np.searchsorted(key, sought), len(key) - 1)
+            has = (key[place] == sought) & (residue[head] != other)
+            which = np.flatnonzero(has[block])
+            place, own = place[block[which]], mine[which]
+            low, high, begin = head[place], tail[place], head[place]
+            shift = SHIFT[own, other]
+            value = self.rank[at[mixed[which]] + shift]
             while (open_ := low < high).any():
                 middle = (low + high) // 2
                 found = self.rank[at[np.minimum(middle, len(at) - 1)] + shift]
-                less = open_ & ((found < value) | ((found == value) & (other < mine)))
+                less = open_ & ((found < value) | ((found == value) & (other < own)))
                 low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
-            smaller += low - begin
+            smaller[which] += low - begin
         out = order.copy()
-        out[np.searchsorted(group, of) + smaller] = order[mixed]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])  # where a group begins; groups are numbered from 0
+        out[first[group[mixed]] + smaller] = order[mixed]
         return out
 
 
@@ -260,8 +269,9 @@ def told_apart(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     kinds too and not all of them occur twice; n is the number of kinds in the bucket.
     """
     spot, kind = F.struct("row", "pos"), ["h", "c", "e"]
-    kinds = materialize(rows.groupBy(*kind).agg(F.min(spot).alias("first"), F.max(spot).alias("last")).select(*kind, "first", (F.col("first") < F.col("last")).alias("often")), "kinds")
-    whole = rows.join(kinds.where("often").select(*kind), kind, "left_semi").select("row", (F.col("pos") - F.col("lo")).alias("start"), (F.col("pos") - F.col("hi") + size).alias("end"))
+    counted = rows.groupBy(*kind).agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.count("*").alias("times"))
+    kinds = materialize(counted.select(*kind, "first", "times", (F.col("first") < F.col("last")).alias("often")), "kinds")
+    whole = join_hot(rows, kinds.where("often").select(*kind, "often", "times"), kind, "times").select("row", (F.col("pos") - F.col("lo")).alias("start"), (F.col("pos") - F.col("hi") + size).alias("end"))
     needy = kinds.groupBy("h").agg(F.count("*").alias("n"), F.min("often").alias("all")).where("n > 1 and not all").select("h", "n")
     return whole, kinds.join(needy, "h").select(*kind, "n", "first")
 
