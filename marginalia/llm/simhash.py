@@ -11,6 +11,10 @@ Each shard has its own BK-tree, built and searched in the task that holds the sh
 keyed by their integer distance to the parent, and a search follows only the edges within the
 radius. A shard reports a star (member, root) for each of its components, never pairs; the stars of
 all shards are joined by alternating large-star and small-star steps over working tables.
+
+A shard of more than TILE fingerprints is cut into tiles, and each two tiles make a shard, so what a task
+holds is bounded. In a dense shard neighbours in a few sorted orders are linked first; the search then
+leaves out subtrees of the query's own component, and queries of the shard's largest component.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_of, map_arrow, materialize, utf8
+from .common import join_hot, key_of, map_arrow, materialize, utf8
 
 #: Hashes whose bits are counted at once.
 CHUNK = 1 << 16
-#: Queries that walk the trees of a task at once.
-QUERIES = 1 << 9
+#: Queries that walk the trees of a task at once; fewer in large shards, so that at most FRONTIER nodes are looked at.
+QUERIES, FRONTIER = 1 << 9, 1 << 22
+#: Fingerprints of a shard beyond which it is cut into tiles, and beyond which neighbours are linked first.
+TILE, DENSE = 1 << 15, 1 << 8
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -88,45 +94,60 @@ class Forest:
         self.root = first[shard].astype(np.int32)
         waiting = np.setdiff1d(np.arange(n), first, assume_unique=True)
         parent = self.root[waiting]
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # (nodes, their parents) from the roots' children on
         while len(waiting):
             distance = np.bitwise_count(value[waiting] ^ value[parent])
             slot = parent.astype(np.int64) * 65 + distance
             _, chosen = np.unique(slot, return_index=True)
             self.child.reshape(-1)[slot[chosen]] = waiting[chosen]
+            self.levels.append((waiting[chosen], parent[chosen]))
             rest = np.ones(len(waiting), dtype=bool)
             rest[chosen] = False
             parent = self.child.reshape(-1)[slot[rest]]
             waiting = waiting[rest]
 
-    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) for each node within the radius, searched from the query's own root."""
+    def uniform(self, label: np.ndarray) -> np.ndarray:
+        """For each node its label, if its whole subtree has it; else -1."""
+        out = label.copy()
+        for nodes, parents in reversed(self.levels):
+            out[parents[out[nodes] != label[parents]]] = -1
+        return out
+
+    def search(self, queries: np.ndarray, radius: int, label: np.ndarray, uniform: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) for each node within the radius and of another label, searched from the query's own root.
+
+        With uniform, subtrees that have the query's label throughout aren't entered.
+        """
         found: list[tuple[np.ndarray, np.ndarray]] = []
         query, node = queries, self.root[queries]
         steps = np.arange(-radius, radius + 1)
         while len(query):
             distance = np.bitwise_count(self.value[query] ^ self.value[node]).astype(np.int64)
-            near = distance <= radius
+            near = (distance <= radius) & (label[query] != label[node])
             found.append((query[near], node[near]))
             at = distance[:, None] + steps
             below = np.where((at >= 0) & (at <= 64), self.child[node[:, None], np.clip(at, 0, 64)], -1)
             row, column = np.nonzero(below >= 0)
             query, node = query[row], below[row, column]
+            if uniform is not None:
+                enter = uniform[node] != label[query]
+                query, node = query[enter], node[enter]
         return np.concatenate([q for q, _ in found]), np.concatenate([n for _, n in found])
 
 
 def components(size: int, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """label lowered until it is equal along each link."""
+    """label with the labels at both ends of each link made one, the least of all that links join."""
+    left, right = label[left], label[right]
+    root = np.arange(size)
     while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, label[left], low)
-        np.minimum.at(new, label[right], low)
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
+        low = np.minimum(root[left], root[right])
+        new = root.copy()
+        for at in (root[left], root[right], left, right):
+            np.minimum.at(new, at, low)
         new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
+        if np.array_equal(new, root):
+            return root[label]
+        root = new
 
 
 def stars(shard: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,15 +164,38 @@ def stars(shard: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray
         return value, value
     shard = np.cumsum(np.r_[True, shard[1:] != shard[:-1]]) - 1
     forest, label = Forest(shard, value), np.arange(len(value))
-    for at in range(0, len(value), QUERIES):
-        left, right = forest.search(np.arange(at, min(at + QUERIES, len(value))), radius)
-        if (other := left > right).any():  # each link is found from both its ends
-            label = components(len(value), left[other], right[other], label)
+    largest = int(np.bincount(shard).max())
+    dense = largest > DENSE
+    if dense:
+        label = neighbours(shard, value, radius, label)
+    # one end of each missing link is outside its shard's largest component
+    order = np.lexsort((np.bincount(label, minlength=len(value))[label], shard))
+    big = label[order[np.flatnonzero(np.r_[shard[order][1:] != shard[order][:-1], True])]]
+    queries = np.flatnonzero(label != big[shard])
+    step = max(16, min(QUERIES, FRONTIER // largest))
+    uniform = forest.uniform(label) if dense else None
+    for at in range(0, len(queries), step):
+        left, right = forest.search(queries[at : at + step], radius, label, uniform)
+        if len(left):
+            label = components(len(value), left, right, label)
+            uniform = forest.uniform(label) if dense else None
     member = label != np.arange(len(value))
     return value[member], value[label[member]]
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
+def neighbours(shard: np.ndarray, value: np.ndarray, radius: int, label: np.ndarray) -> np.ndarray:
+    """label lowered along links between values that follow each other in their shard, in the order of their bits turned by some steps."""
+    found = []
+    for turn in range(0, 64, 3):
+        turned = value << np.uint64(turn) | value >> np.uint64(64 - turn) if turn else value
+        order = np.lexsort((turned, shard))
+        left, right = order[1:], order[:-1]
+        near = (shard[left] == shard[right]) & (np.bitwise_count(value[left] ^ value[right]) <= radius)
+        found.append((left[near], right[near]))
+    return components(len(value), np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), label)
+
+
+def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Stars (u, v), v < u unsigned, of the fingerprints in column fp within each shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,25 +225,40 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
                 yield out(kept_shard, kept_value)
 
     spread = distinct.select(F.explode(shard_keys(F.col("fp"), radius)).alias("shard"), "fp")
-    spread = spread.repartition(F.col("shard")).sortWithinPartitions("shard")
+    spread = tiled(spread, tile).repartition(F.col("shard")).sortWithinPartitions("shard")
     return map_arrow(spread, run, "u long, v long", 10_000).distinct()
 
 
+def tiled(spread: DataFrame, tile: int) -> DataFrame:
+    """spread (shard, fp) with each shard of more than tile rows cut into tiles, and a shard for each two of them."""
+    large = materialize(spread.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > tile), "large")
+    if large.isEmpty():
+        return spread
+    # a fingerprint has one row for each pair of blocks, so shards of more than tile rows are few for the rows there are
+    tiles = F.ceil(F.col("n") / tile).cast("int") + 1
+    own = F.pmod(F.xxhash64(F.lit(5), "fp"), tiles).cast("int")
+    met = spread.join(large, "shard", "left").withColumn("own", own)
+    others = F.filter(F.sequence(F.lit(0), tiles - 1), lambda t: t != F.col("own"))
+    pairs = F.transform(others, lambda t: F.xxhash64("shard", F.least(t, F.col("own")), F.greatest(t, F.col("own"))))
+    return met.select(F.explode(F.when(F.col("n").isNull(), F.array("shard")).otherwise(pairs)).alias("shard"), "fp")
+
+
 def connect(edges: DataFrame) -> DataFrame:
     """(u, root) for every vertex of edges (u, v) but the roots; a root is its component's least vertex.
 
     Alternates large-star and small-star steps; each reads and writes a working table, so a lost
-    executor costs one step. Rounds grow with the logarithm of the longest path.
+    executor costs one step. Rounds grow with the logarithm of the longest path. The hub of a large
+    component doesn't collect its edges in one task (join_hot).
     """
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     mark = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = join_hot(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        small = join_hot(large, low, "u", "n").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
@@ -216,13 +275,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, radius: int
     Other columns, whatever their names, are not read.
     """
     prints = materialize(fingerprints(docs, words, seed), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("key").alias("rep")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "distinct")
     roots = connect(links(distinct, radius)).withColumnRenamed("u", "fp")
-    labelled = materialize(distinct.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "labelled")
-    least = labelled.groupBy("root").agg(F.min("rep").alias("component"))
-    by_print = labelled.join(least, "root").select("fp", "component")
+    labelled = materialize(distinct.join(roots, "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "labelled")
+    least = materialize(labelled.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("members")), "least")
+    by_print = materialize(join_hot(labelled, least, "root", "members").select("fp", "component", "n"), "by_print")
     real = lambda c: F.when(F.col(c) != F.lit((1 << 63) - 1), F.col(c))
-    return prints.join(by_print, "fp").select(
+    return join_hot(prints, by_print, "fp", "n").select(
         real("key").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         real("component").alias("component_id"),
