@@ -9,23 +9,25 @@ language, its score the posterior probability under equal priors.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_of, map_arrow, unit_hash
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: a letter, and letters and combining marks after it. Digits and other number characters are none.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Stands before each word, as in the vocabulary.
 START = "▁"
-#: Words up to this length go through the batched forward algorithm; longer ones rescale as they go.
+#: Words below this length go through the batched forward algorithm; longer ones rescale as they go, and
+#: training cuts them into parts below it, so that no probability underflows.
 SHORT = 32
 #: Least probability of a piece, and that of a character that no piece covers.
 FLOOR, UNKNOWN = 1e-7, 1e-8
@@ -165,11 +167,11 @@ class Model:
         new = [t for t in tokens if t not in self.memo]
         if not new:
             return {}, self.rows
-        parts = [(t,) if t.isalpha() else LETTERS.findall(t) for t in new]
-        words = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
+        split = [(t,) if t.isalpha() else LETTERS.findall(t) for t in new]
+        words = {w: i for i, w in enumerate(dict.fromkeys(w for p in split for w in p))}
         value = self.log_words(list(words)) if words else np.zeros((0, len(self.langs)))
-        flat = np.array([words[w] for p in parts for w in p], dtype=np.int64)
-        size = np.array([len(p) for p in parts])
+        flat = np.array([words[w] for p in split for w in p], dtype=np.int64)
+        size = np.array([len(p) for p in split])
         rows = np.zeros((len(new), len(self.langs)))
         if len(flat):
             rows[size > 0] = np.add.reduceat(value[flat], (np.cumsum(size) - size)[size > 0], axis=0)
@@ -205,16 +207,26 @@ class Model:
         return out
 
 
+def parts(word: str) -> list[str]:
+    """A word as training counts it: in parts of fewer than SHORT characters."""
+    return [word[i : i + SHORT - 1] for i in range(0, len(word), SHORT - 1)]
+
+
 def fit(counts: dict[str, dict[str, int]], pieces: Pieces, rounds: int = 3) -> Model:
     """EM over word counts of each language; languages in order of name, so ties go to the first."""
     langs = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c if len(w) < SHORT})
+    short: dict[str, Counter] = {lang: Counter() for lang in langs}
+    for lang in langs:
+        for word, n in counts[lang].items():
+            for part in parts(word):
+                short[lang][part] += n
+    counts = short
+    words = sorted({w for c in counts.values() for w in c})
     at = {w: i for i, w in enumerate(words)}
     weight = np.zeros((len(words), len(langs)))
     for n, lang in enumerate(langs):
         for w, c in counts[lang].items():
-            if w in at:
-                weight[at[w], n] = c
+            weight[at[w], n] = c
     size = len(pieces.names)
     prob = np.full((size, len(langs)), 1 / size)
     block = 20_000  # words at once
@@ -232,19 +244,16 @@ def fit(counts: dict[str, dict[str, int]], pieces: Pieces, rounds: int = 3) -> M
     return Model(pieces, langs, prob)
 
 
-def train(docs: DataFrame, vocabulary_path: str, held_out: F.Column, docs_per_language: int = 200, max_languages: int = 500) -> Model:
-    """Learn from rows with a language that are not held out.
+def train(docs: DataFrame, vocabulary_path: str, held_out: F.Column, docs_per_language: int = 200, words_per_language: int = 200_000) -> Model:
+    """Learn every language of rows with a language that are not held out.
 
     Bounds of the sample, whatever the input: about docs_per_language documents of each language,
-    chosen by a hash of doc_id, and the max_languages most frequent languages.
+    chosen by a hash of doc_id, and of their distinct words the words_per_language most frequent ones.
+    Words of any length count, and so do documents of any length.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    pieces = Pieces(vocabulary(vocabulary_path))
-    if not sizes:
-        return Model(pieces, [], np.zeros((len(pieces.names), 0)))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_language / r["count"]))])
-    sample = known.where(unit_hash("doc_id", 11) < share[F.col("lang")]).select("lang", "text")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out).select("lang", "text", unit_hash("doc_id", 11).alias("chance"))
+    sizes = known.groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("size"))
+    sample = known.join(F.broadcast(sizes), F.col("lang") == F.col("name")).where(F.col("chance") * F.col("size") < docs_per_language).select("lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,10 +263,15 @@ def train(docs: DataFrame, vocabulary_path: str, held_out: F.Column, docs_per_la
             rows = list(found.items())
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["lang", "word", "n"])
 
-    counts: dict[str, dict[str, int]] = {r["lang"]: {} for r in sizes}
-    for r in map_arrow(sample, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["lang"]][r["word"]] = r["n"]
-    return fit({k: v for k, v in counts.items() if v}, pieces)
+    totals = map_arrow(sample, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    counts: dict[str, dict[str, int]] = {}
+    for r in totals.withColumn("place", place).where(F.col("place") <= words_per_language).toLocalIterator():
+        counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    pieces = Pieces(vocabulary(vocabulary_path))
+    if not counts:
+        return Model(pieces, [], np.zeros((len(pieces.names), 0)))
+    return fit(counts, pieces)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -282,7 +296,8 @@ def held_out() -> F.Column:
 def detect(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 200) -> DataFrame:
     """Train on docs (doc_id, text, lang), then docs with held_out, lang_pred and score.
 
-    A text that is null or has no letters is und with score 0, as are all if no row has a language.
+    A text that is null or has no letters (number characters are none) is und with score 0, as are all if
+    no row has a language. Null ids and repeated rows are kept; ties go to the first language by name.
     """
     model = train(docs, vocabulary_path, held_out(), docs_per_language)
     return identify(docs.withColumn("held_out", held_out()), model)
