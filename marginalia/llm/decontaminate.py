@@ -2,30 +2,33 @@
 
 The automaton reads a document's words and tracks the longest match that ends at each; where that
 reaches a window (13 words, or a whole shorter item), the window's words are hit. Automata are built
-for blocks of items of a bounded size, so one of them fits a worker whatever the benchmark holds.
-Only stretches of words whose neighbouring pairs all occur in the items are streamed: elsewhere the
+for blocks of items of a bounded size, long items in parts that overlap by less than a window. One block
+at a time is collected, built and broadcast, so the driver and a worker hold one of them whatever the
+benchmark holds (about 1 kB a word); with several blocks what each of them hits is written down, and
+merged by document at the end. Only stretches of words whose neighbouring pairs all occur in the items are streamed: elsewhere the
 automaton could match fewer words than the shortest window has.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, utf8
+from .common import map_arrow, materialize, numbered, utf8
 
 #: Bytes of a word: digits, a-z after lower-casing, and all of a character beyond ASCII.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: Words of the items in one automaton.
-BLOCK_WORDS = 500_000
+#: Words of the items in one automaton, about, and of a part of an item.
+BLOCK_WORDS, PART_WORDS = 200_000, 20_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -141,21 +144,30 @@ class Automaton:
                             found.add(name)
 
 
-def automata(benchmark: DataFrame, window: int) -> list[Automaton]:
-    """Automata of the benchmark's items (item_id, text), in blocks of BLOCK_WORDS words at most.
+def parts(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """(name, words joined by blanks, their number) of the items (item_id, text), long ones in parts that together hold each window once."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                for at in range(0, max(1, len(words) - window + 1), most):
+                    part = words[at : at + most + window - 1]
+                    rows += [(name, b" ".join(part), len(part))] if part else []
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.int64()))], ["name", "words", "n"])
+
+    return map_arrow(benchmark.select(F.col("item_id").cast("string").alias("name"), utf8("text").alias("text")), cut, "name string, words binary, n long")
 
-    The benchmark is a set of test items that someone wrote, read once through the driver, block by
-    block; its size doesn't depend on the documents.
-    """
-    out, block, size = [], [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("name"), utf8("text").alias("text")).toLocalIterator():
-        words = words_of(bytes(row.text))
-        if block and size + len(words) > BLOCK_WORDS:
-            out.append(Automaton(block, window))
-            block, size = [], 0
-        block.append((row.name, words))
-        size += len(words)
-    return [*out, Automaton(block, window)]
+
+def automata(benchmark: DataFrame, window: int) -> Iterator[tuple[int, Automaton]]:
+    """(number of blocks, automaton) for each block of the benchmark's items (item_id, text), built when it is asked for."""
+    items = materialize(parts(benchmark, window, PART_WORDS), "items")
+    blocks = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
+    block = F.pmod(F.xxhash64("name", "words"), F.lit(blocks))
+    for k in range(blocks):
+        rows = items.where(block == k).collect()  # about BLOCK_WORDS words
+        yield blocks, Automaton([(r["name"], bytes(r["words"]).split()) for r in rows], window)
 
 
 def without(text: bytes, hit: np.ndarray) -> bytes:
@@ -178,21 +190,64 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     hit spans. Of docs only doc_id and text are read unless cleaned, where its other columns stay and
     columns with the new names are replaced.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window)]
     new = ["n_words", "n_hit", "n_items", "items", "contaminated", "clean"]
     own = [c for c in docs.columns if c not in new] if cleaned else ["doc_id"]
     schema = docs.select(*own).schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items", T.ArrayType(T.StringType())).add("contaminated", "boolean")
     if cleaned:
         schema = schema.add("clean", "binary")
+    given = docs.select(*(F.col(c).alias(f"c{n}") for n, c in enumerate(own)), utf8("text").alias("_text"))
+    blocks = automata(benchmark, window)
+    count, automaton = next(blocks)
+    if count == 1:
+        return map_arrow(given, judged(schema, share, docs.sparkSession.sparkContext.broadcast(automaton)), schema)
+    given, found = numbered(given, "documents"), None
+    while automaton is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+        hits = materialize(hit_by(given, shared), "hits")
+        shared.destroy()
+        found = hits if found is None else found.union(hits)
+        automaton = next(blocks, (count, None))[1]
+    found = found.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("names")).alias("names"))
+    joined = given.join(found, "row", "left").select(*given.columns[:-1], "starts", "ends", "names")
+    return map_arrow(joined, judged(schema, share), schema)
+
+
+def hit_by(docs: DataFrame, automaton: Broadcast) -> DataFrame:
+    """(row, starts, ends, names) of the documents (row, _text) with hits: the ranges of hit words and the names of the items."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+        for batch in batches:
+            rows = []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, names = words_of(text), set()
+                hit = np.zeros(len(words), dtype=bool)
+                automaton.value.scan(words, hit, names)
+                if hit.any():
+                    edge = np.flatnonzero(np.diff(np.r_[False, hit, False])).tolist()
+                    rows.append((row, edge[::2], edge[1::2], sorted(names)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["row", "starts", "ends", "names"])
+
+    return map_arrow(docs.select("row", "_text"), run, "row long, starts array<int>, ends array<int>, names array<string>")
+
+
+def judged(schema: T.StructType, share: int, automaton: Broadcast | None = None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The results of batches of documents' columns and text; hits come from the automaton, or else from the columns starts, ends and names."""
+    cleaned = schema.names[-1] == "clean"
+    width = len(schema.names) - 5 - cleaned
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, hits, named, clean = [], [], [], []
-            for text in batch.column(len(own)).to_pylist():
-                words, found = words_of(text), set()
+            texts = batch.column(width).to_pylist()
+            known = repeat((None, None, None)) if automaton else zip(*(batch.column(width + i).to_pylist() for i in (1, 2, 3)), strict=True)
+            for text, (starts, ends, names) in zip(texts, known, strict=automaton is None):
+                words, found = words_of(text), set(names or ())
                 hit = np.zeros(len(words), dtype=bool)
-                for automaton in shared:
+                if automaton:
                     automaton.value.scan(words, hit, found)
+                for a, b in zip(starts or (), ends or (), strict=True):
+                    hit[a:b] = True
                 size.append(len(words))
                 hits.append(int(hit.sum()))
                 named.append(sorted(found))
@@ -200,12 +255,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
                     clean.append(without(text, hit) if hits[-1] else text)
             bad = [h > 0 and share * h >= n for h, n in zip(hits, size, strict=True)]
             arrays = [pa.array(size, pa.int64()), pa.array(hits, pa.int64()), pa.array(list(map(len, named)), pa.int64()), pa.array(named, pa.list_(pa.string())), pa.array(bad, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *arrays, *([pa.array(clean, pa.binary())] if cleaned else [])], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *arrays, *([pa.array(clean, pa.binary())] if cleaned else [])], schema.names)
 
-    return map_arrow(docs.select(*own, utf8("text").alias("_text")), run, schema)
+    return run
 
 
 def digest_of_items(column: str = "items") -> F.Column:
     """sha256 of the names, sorted as strings, joined by commas."""
     return F.sha2(F.concat_ws(",", F.col(column)), 256)
-
