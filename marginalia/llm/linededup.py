@@ -3,7 +3,9 @@
 Pass one reads every document and fills the filters; a document counts once for a key. Only the
 filter "twice" is sent out; it has a bounded size whatever the input (see bloom.py).
 Pass two shuffles the keys that "twice" holds: their 128-bit digests and documents, which confirm
-repeats exactly and choose the first document. The drops then meet the texts by document.
+repeats and choose the first document; keys with equal digests count as equal. Rows of very frequent
+lines aren't shuffled to meet their first document (join_hot). The drops then meet the texts by
+document; texts that a Bloom filter shows to lose nothing stay where they are.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import key_of, map_arrow, materialize, utf8
+from .common import join_hot, key_of, map_arrow, materialize, utf8
 
 #: What is stripped from both ends of a line for its key.
 BLANK = b" \t\n\v\f\r"
 
+
 def digests(text: bytes, min_points: int) -> list[bytes | None]:
     """For each line the 128-bit digest of its key; None where the key is too short to matter."""
     out: list[bytes | None] = []
@@ -59,8 +62,8 @@ def drops(docs: DataFrame, min_points: int, bits: int | None = None) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([found[i] for i in hit], pa.binary()), pa.array([names[i] for i in hit], pa.int64())], ["line", "key"])
 
     held = materialize(map_arrow(docs, suspects, "line binary, key long"), "suspects")
-    repeats = held.groupBy("line").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("line", "first")
-    return held.join(repeats, "line").where("key != first").groupBy("key").agg(F.collect_set("line").alias("lines"))
+    repeats = materialize(held.groupBy("line").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).where("first < last").select("line", "first", "n"), "repeats")
+    return materialize(join_hot(held, repeats, "line", "n").where("key != first").groupBy("key").agg(F.collect_set("line").alias("lines")), "drops")
 
 
 def dedup_lines(docs: DataFrame, min_points: int = 10) -> DataFrame:
@@ -75,9 +78,11 @@ def dedup_lines(docs: DataFrame, min_points: int = 10) -> DataFrame:
     own = [c for c in docs.columns if c not in ("kept", "n_lines", "n_dropped", "_marginalia_key", "_marginalia_lines")]
     keyed = docs.select(key_of("doc_id").alias("key"), utf8("text").alias("text"))
     lost = drops(keyed, min_points).select(F.col("key").alias("_marginalia_key"), F.col("lines").alias("_marginalia_lines"))
-    joined = docs.select(*own, key_of("doc_id").alias("_marginalia_key")).join(lost.hint("shuffle_hash"), "_marginalia_key", "left")
+    touched, untouched = bloom.apart(docs.select(key_of("doc_id").alias("_marginalia_key"), *own), lost.select("_marginalia_key"))
+    joined = touched.join(lost.hint("shuffle_hash"), "_marginalia_key", "left")
+    untouched = untouched.withColumn("_marginalia_lines", F.lit(None).cast("array<binary>"))
     schema = joined.select(*own).schema
-    at = {name: joined.columns.index(name) for name in (*own, "_marginalia_lines")}
+    at = {name: untouched.columns.index(name) for name in (*own, "_marginalia_lines")}
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,4 +103,4 @@ def dedup_lines(docs: DataFrame, min_points: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [*own, "kept", "n_lines", "n_dropped"])
 
     out = schema.add("kept", "binary").add("n_lines", "long").add("n_dropped", "long")
-    return map_arrow(joined, cut, out)
+    return map_arrow(joined.select(untouched.columns), cut, out).unionByName(map_arrow(untouched, cut, out))
