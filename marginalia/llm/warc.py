@@ -3,7 +3,8 @@
 A reader can't trust the record magic: a payload may hold it. So every place where a record could
 start gives a candidate: its offset, and from its Content-Length the offset of its successor.
 Pointer jumping from the file's start then keeps the candidates that the chain reaches, in
-logarithmically many steps; the others are payload.
+logarithmically many steps; the others are payload. An archive is a task's unit, so the writer bounds
+archives by bytes, but for records that are larger on their own.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, map_arrow, shared_dir
+from .common import NO_ID, SLICE_BYTES, join_hot, map_arrow, materialize, shared_dir
 
 #: Ends a record.
 END = "\r\n\r\n"
-#: Bound of the records in an archive, whatever its partition holds.
-RECORDS = 5_000
+#: Largest payloads, in bytes, and how many of them at most an archive holds: 64 MB in all, or a single larger one.
+CLASSES = ((16 << 10, 4096), (256 << 10, 256), (4 << 20, 16), (1 << 62, 1))
 #: What stands before a payload in a response's block.
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2000-01-01T00:00:00Z"
@@ -43,7 +44,7 @@ def base32(column: str) -> F.Column:
 
 
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One column, record: the WARC record of each row of pages (page_id, url, html), without its end.
+    """record and size: the WARC record of each row of pages (page_id, url, html), without its end, and its payload's bytes.
 
     Of payloads with equal SHA-1 and at least min_bytes bytes, those of the least page_id are
     responses, the others revisit it; a null page_id sorts last.
@@ -55,7 +56,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         html.alias("html"),
         F.sha1(html.cast("binary")).alias("digest"),
     )
-    first = page.groupBy("digest").agg(F.min("id").alias("first"))
+    first = materialize(page.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")), "first")
     named = lambda c: F.concat(F.lit("<urn:page:"), F.when(F.col(c) == NO_ID, "null").otherwise(F.col(c).cast("string")), F.lit(">"))
     size = F.octet_length("html")
     response = (F.col("id") == F.col("first")) | (size < min_bytes)
@@ -71,7 +72,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
     whole = F.concat(head, line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", (size + len(HTTP)).cast("string")), F.lit("\r\n" + HTTP), F.col("html"))
     short = F.concat(head, line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", named("first")), F.lit("Content-Length: 0\r\n\r\n"))
-    return page.join(first.hint("shuffle_hash"), "digest").select(F.when(response, whole).otherwise(short).alias("record"))
+    return join_hot(page, first, "digest", "n").select(F.when(response, whole).otherwise(short).alias("record"), F.when(response, size).otherwise(0).alias("size"))
 
 
 def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> str:
@@ -80,7 +81,15 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> str:
     Spark's committer writes them, so a task that is lost and run again leaves no second copy.
     """
     path = path or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    records(pages, min_bytes).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
+    largest = pages.agg(F.max(size)).first()[0] or 0
+    found = records(pages, min_bytes)
+    least = -1
+    for most, count in CLASSES:
+        if least < largest or least < 0:
+            part = found if largest <= most and least < 0 else found.where((F.col("size") > least) & (F.col("size") <= most))
+            part.select("record").write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", count).text(path)
+        least = most
     return path
 
 
@@ -125,12 +134,12 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, data[body[i] : successor[i] - 4]
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of archives, plain or gzipped: kind, id, url, refers_to, digest, payload_bytes, payload.
 
-    An archive is read as a whole by one task; write() bounds their records. payload is the body of a
+    An archive is read as a whole by one task; write() bounds them. payload is the body of a
     response, whose digest and length are computed from it again; a revisit has none, and digest and
-    length from its header.
+    length from its header. Without payloads the column is null.
     """
     names = ["kind", "id", "url", "refers_to", "digest", "payload_bytes", "payload"]
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -138,21 +147,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                rows = []
+                rows, held = [], 0
                 for field, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     payload = block.partition(b"\r\n\r\n")[2] if field.get("warc-type") == "response" else None
                     digest = field.get("warc-payload-digest", "").removeprefix("sha1:")
                     size = int(field.get("x-payload-length", 0))
                     if payload is not None:
                         digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
-                    rows.append((field.get("warc-type"), field.get("warc-record-id"), field.get("warc-target-uri"), field.get("warc-refers-to"), digest, size, payload))
-                    if len(rows) == 256:
+                    rows.append((field.get("warc-type"), field.get("warc-record-id"), field.get("warc-target-uri"), field.get("warc-refers-to"), digest, size, payload if payloads else None))
+                    held += len(block) if payloads else 0
+                    if len(rows) == 256 or held > SLICE_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
-                        rows = []
+                        rows, held = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return map_arrow(files, run, "kind string, id string, url string, refers_to string, digest string, payload_bytes long, payload binary", 8)
+    return map_arrow(files, run, "kind string, id string, url string, refers_to string, digest string, payload_bytes long, payload binary", 1)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -163,5 +173,5 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    back = read(pages.sparkSession, write(pages, None, min_bytes)).drop("payload")
+    back = read(pages.sparkSession, write(pages, None, min_bytes), payloads=False)
     return back.select(page("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"))
