@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of, map_arrow, unit_hash, utf8
+from .common import crc_of, map_arrow, materialize, unit_hash, utf8
 
 #: Insults that count without training.
 LEXICON = frozenset(b"idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting dumb clown garbage".split())
@@ -35,6 +35,8 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 #: Words between a lexicon word and a second person that are still near.
 NEAR = 5
 FEATURES = 13
+#: Parts of the sample, and the likelihood ratio from which a gram is learned.
+FOLDS, LEAST_RATIO = 4, 10
 
 
 def grams(words: Iterable[bytes]) -> set[bytes]:
@@ -157,70 +159,79 @@ class Model:
         return self.isotonic(self.trees.margin(self.features.table(texts)))
 
 
-def learn_grams(sample: DataFrame, limit: int = 5_000) -> list[bytes]:
-    """The grams that tell toxic texts apart, by the likelihood ratio, limit of them at most; sample has text and toxic."""
+def learn_grams(sample: DataFrame, limit: int = 5_000) -> list[list[bytes]]:
+    """For each fold, and at last for all, the grams that tell toxic texts apart in the other folds: by the likelihood ratio, limit at most.
+
+    sample has text, toxic and fold.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic, other, sizes = Counter(), Counter(), [0, 0]
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (toxic if label else other).update(grams(text.translate(BLANKS).split()))
-                sizes[label] += 1
-            keys = [b"", *(toxic.keys() | other.keys())]  # the empty gram counts the texts
-            toxic[b""], other[b""] = sizes[1], sizes[0]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([other[k] for k in keys], pa.int64())], ["gram", "toxic", "other"])
-
-    found = map_arrow(sample, count, "gram binary, toxic long, other long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    sizes = [0, 0]
-    rated = []
-    for row in found.where("gram = X'' or (toxic >= 3 and toxic > 4 * other)").toLocalIterator():
-        if row.gram:
-            rated.append((bytes(row.gram), row.toxic, row.other))
-        else:
-            sizes = [row.other, row.toxic]
-    n, p = sum(sizes), sizes[1] / max(1, sum(sizes))
-    scores = []
-    for gram, a, b in rated:
-        both, ratio = a + b, 0.0
-        for seen, expected in ((a, both * p), (b, both * (1 - p)), (sizes[1] - a, (n - both) * p), (sizes[0] - b, (n - both) * (1 - p))):
-            ratio += 2 * seen * math.log(seen / expected) if seen and expected > 0 else 0
-        if ratio > 15:
-            scores.append((-ratio, gram))
-    return [g for _, g in sorted(scores)[:limit]]
+            found: dict[tuple[bytes, int], list[int]] = {}
+            for text, label, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for gram in (b"", *grams(text.translate(BLANKS).split())):  # the empty gram counts the texts
+                    found.setdefault((gram, fold), [0, 0])[label] += 1
+            columns = ([k[0] for k in found], pa.binary()), ([k[1] for k in found], pa.int32()), ([v[1] for v in found.values()], pa.int64()), ([v[0] for v in found.values()], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], ["gram", "fold", "toxic", "other"])
+
+    each = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in ("other", "toxic") for k in range(FOLDS)]
+    found = map_arrow(sample.select("text", "toxic", "fold"), count, "gram binary, fold int, toxic long, other long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), *each)
+    rows = list(found.where("gram = X'' or (toxic >= 3 and toxic > 2 * other)").drop("toxic", "other").toLocalIterator())
+    names = [bytes(r["gram"]) for r in rows]
+    seen = np.array([r[1:] for r in rows], dtype=np.int64).reshape(-1, 2, FOLDS)  # gram, label, fold
+    out = []
+    for k in range(FOLDS + 1):
+        kept = seen[:, :, [f for f in range(FOLDS) if f != k]].sum(axis=2)
+        other, toxic = next((kept[i] for i, name in enumerate(names) if not name), (0, 0))
+        p = toxic / max(1, other + toxic)
+        scores = []
+        for name, (b, a) in zip(names, kept.tolist(), strict=True):
+            if not name or a < 3 or a <= 4 * b:
+                continue
+            both, ratio = a + b, 0.0
+            for n, expected in ((a, both * p), (b, both * (1 - p)), (toxic - a, (other + toxic - both) * p), (other - b, (other + toxic - both) * (1 - p))):
+                ratio += 2 * n * math.log(n / expected) if n and expected > 0 else 0
+            if ratio > LEAST_RATIO:
+                scores.append((-ratio, name))
+        out.append([name for _, name in sorted(scores)[:limit]])
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: F.Column, per_label: int = 3_000) -> Model:
     """Learn from labelled documents that aren't held out.
 
     Bound of the sample, whatever the input: about per_label documents of each label, chosen by a
-    hash of doc_id. Half of them give the learned words. The others grow the trees; for the
-    calibration, each half of these is scored by trees of the other.
+    hash of doc_id. It falls into FOLDS parts by another hash. The features of a part count words that
+    the other parts taught, so trees see such words as they will be in new texts; for the calibration, too,
+    each part is scored by trees of the others.
     A document with labels of both kinds isn't used. Without labels of both kinds scores follow from
     the few that there are, or are 0.5.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, per_label / max(1, sizes.get(1, 0))).otherwise(per_label / max(1, sizes.get(0, 0)))
-    chosen = F.broadcast(known.where(unit_hash("doc_id", 23) < share).select("doc_id", F.col("toxic").cast("int").alias("toxic")))
+    chosen = F.broadcast(known.where(unit_hash("doc_id", 23) < share).select("doc_id", F.col("toxic").cast("int").alias("toxic")))  # about 2 * per_label rows
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).join(chosen, "doc_id")
     part = unit_hash("doc_id", 29)
-    features = Features(learn_grams(sample.where(part < 0.5).select("text", "toxic")))
+    sample = materialize(sample.select("text", "toxic", F.floor(part * FOLDS).cast("int").alias("fold"), part.alias("part")), "sample")
+    learned = learn_grams(sample)
+    features = [Features(g) for g in learned]
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = features.table(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["toxic", "part", "x"])
+            rows = [features[k].of(t) for t, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(rows, pa.list_(pa.float64()))], ["toxic", "fold", "part", "x"])
 
-    rows = map_arrow(sample.where(part >= 0.5).select("text", "toxic", part.alias("part")), measure, "toxic int, part double, x array<double>").collect()
+    rows = map_arrow(sample, measure, "toxic int, fold int, part double, x array<double>").collect()
     rows.sort(key=lambda r: (r["part"], r["x"]))
     x = np.array([r["x"] for r in rows]).reshape(-1, FEATURES)
     y = np.array([r["toxic"] for r in rows], dtype=np.float64)
-    half = np.array([r["part"] for r in rows]) < 0.75
+    fold = np.array([r["fold"] for r in rows], dtype=np.int64)
     margin = np.zeros(len(rows))
-    for fold in (half, ~half):
-        if fold.any():
-            margin[fold] = Trees(x[~fold], y[~fold]).margin(x[fold])
-    return Model(features, Trees(x, y), Isotonic(margin, y))
+    for k in np.unique(fold):
+        own = fold == k
+        margin[own] = Trees(x[~own], y[~own]).margin(x[own])
+    return Model(features[-1], Trees(x, y), Isotonic(margin, y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
