@@ -134,7 +134,7 @@ def difference_hash(image: np.ndarray) -> str:
 def npy_tile(image: np.ndarray) -> bytes:
     """The image at TILE x TILE 8-bit samples, as an NPY file."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(image, TILE, TILE)), 0, 255).astype(np.uint8))
+    np.save(out, np.ascontiguousarray(np.clip(np.rint(area_resize(image, TILE, TILE)), 0, 255), np.uint8))
     return out.getvalue()
 
 
