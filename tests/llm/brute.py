@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import xxhash
 
 
@@ -120,3 +121,13 @@ def personal(text):
 
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def areas(image, rows, columns):
+    """The means of rows x columns equal areas, each summed over the parts of samples that it covers."""
+    def shares(size, parts):
+        edge = np.arange(parts + 1) * size / parts
+        at = np.arange(size)
+        return np.clip(np.minimum(at + 1, edge[1:, None]) - np.maximum(at, edge[:-1, None]), 0, 1) / (size / parts)
+
+    return shares(image.shape[0], rows) @ image.astype(float) @ shares(image.shape[1], columns).T

@@ -7,11 +7,12 @@ import random
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from marginalia.llm import bloom, bpe, decontaminate, langid, linededup, media, pii, simhash, suffix, toxicity, warc
+from marginalia.llm import bloom, bpe, common, decontaminate, langid, linededup, media, pii, simhash, suffix, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -56,11 +57,76 @@ def test_bk_forest_finds_every_link():
     value = np.unique(np.concatenate([base, *(base ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a, b in rng.integers(0, 63, (30, 2)))]))
     shard = np.sort(rng.integers(0, 3, len(value)))
     forest = simhash.Forest(shard, value)
-    left, right = forest.search(np.arange(len(value)), 4)
-    want = {(i, j) for i in range(len(value)) for j in range(len(value)) if shard[i] == shard[j] and (int(value[i]) ^ int(value[j])).bit_count() <= 4}
+    left, right = forest.search(np.arange(len(value)), 4, np.arange(len(value)))
+    want = {(i, j) for i in range(len(value)) for j in range(len(value)) if i != j and shard[i] == shard[j] and (int(value[i]) ^ int(value[j])).bit_count() <= 4}
     assert set(zip(left.tolist(), right.tolist(), strict=True)) == want
 
 
+def dense(n, flips, seed):
+    """Distinct fingerprints around one centre."""
+    rng = np.random.default_rng(seed)
+    value = np.full(2 * n, 0x0123456789ABCDEF, dtype=np.uint64)
+    for _ in range(flips):
+        value = value ^ (np.uint64(1) << rng.integers(0, 64, len(value)).astype(np.uint64))
+    return rng.permutation(np.unique(value))[:n]
+
+
+def plain_components(value, radius=4):
+    near = np.bitwise_count(value[:, None] ^ value[None, :]) <= radius
+    label = simhash.components(len(value), *np.nonzero(near), np.arange(len(value)))
+    return {int(v): int(value[x]) for v, x in zip(value, label, strict=True)}
+
+
+@pytest.mark.parametrize("flips", [3, 6, 8])
+def test_stars_of_a_dense_shard(flips):
+    value = np.sort(dense(1500, flips, flips))
+    u, v = simhash.stars(np.zeros(len(value), np.int64), value, 4)
+    want = plain_components(value)
+    assert {**{int(x): int(x) for x in value}, **dict(zip(u.tolist(), v.tolist(), strict=True))} == want
+
+
+def test_a_large_centre_takes_seconds():
+    value = dense(60_000, 4, 1)
+    u, v = simhash.stars(np.zeros(len(value), np.int64), value, 4)
+    assert len(u) == len(value) - 1 and len(set(v.tolist())) == 1
+
+
+def test_shards_in_tiles(spark):
+    value = dense(900, 8, 4)
+    table = spark.createDataFrame([(int(x),) for x in value.view(np.int64)], "fp long")
+    for tile in (100, 1 << 15):
+        roots = {r.u & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in simhash.connect(simhash.links(table, 4, tile)).collect()}
+        groups, want = {}, {}
+        for v in map(int, value):
+            groups.setdefault(roots.get(v, v), set()).add(v)
+        for v, root in plain_components(np.sort(value)).items():
+            want.setdefault(root, set()).add(v)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_join_hot(spark, monkeypatch):
+    """Hot keys by broadcast, others by a shuffle: the rows are those of a plain join."""
+    left = spark.createDataFrame([(i % 7 if i % 2 else 3, i) for i in range(200)] + [(None, 1)], "k long, x long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("y"))
+    want = sorted(tuple(r) for r in left.join(right, "k").select("k", "x", "y").collect())
+    for rows in (1000, 50, 0):
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        monkeypatch.setattr(common, "HOT_KEYS", 4)
+        assert sorted(tuple(r) for r in common.join_hot(left, right, "k", "n").select("k", "x", "y").collect()) == want
+
+
+def test_batches_are_bounded_in_each_plan(spark):
+    """A plan's bound holds whatever is built after it, and the session's settings stay."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "b"]) for b in batches)
+    df = spark.range(0, 5000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("t"))
+    small, large = common.map_arrow(df, sizes, "n long, b long", 8), common.map_arrow(df, sizes, "n long, b long", 4000)
+    assert small.agg(F.max("n")).first()[0] == 8
+    n, b = large.agg(F.max("n"), F.max("b")).first()
+    assert 100 < n < 1000 and b < 1.1 * common.SLICE_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_connect_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "u long, v long")
     assert {r.u: r.root for r in simhash.connect(edges).collect()} == {**{i: 1 for i in range(2, 61)}, 101: 100}
@@ -159,7 +225,8 @@ def test_decontamination_in_blocks_and_cleaned(spark, monkeypatch):
     rows, items = contamination(random.Random(9))
     table = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)
-    assert len(decontaminate.automata(table, 13)) > 2
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 6)
+    assert next(decontaminate.automata(table, 13))[0] > 2
     found = decontaminate.decontaminate(documents(spark, rows), table, cleaned=True)
     assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in found.collect()) == sorted(brute.decontaminate(rows, items))
     clean = [(r.doc_id, bytes(r.clean).decode()) for r in found.collect()]
@@ -169,6 +236,18 @@ def test_decontamination_in_blocks_and_cleaned(spark, monkeypatch):
     assert none == 0
 
 
+def test_decontamination_by_a_long_item(spark, monkeypatch):
+    """An item in many parts; items and documents have columns with the operator's own names; ids repeat or are null."""
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 50)
+    rng = random.Random(21)
+    long = words(rng, 3000, 10**6)
+    items = [(1, long, 5, "x", 3), (2, "a b c", 5, "x", 3)]
+    table = spark.createDataFrame(items, "item_id long, text string, n long, words string, row long")
+    rows = [(1, words(rng, 5) + " " + long), (1, long[100:900]), (None, "a b c"), (None, None), (3, words(rng, 50_000))]
+    got = sorted((tuple(r) for r in decontaminate.decontaminate(documents(spark, rows).drop("items"), table).select("doc_id", "n_words", "n_hit", "items", "contaminated").collect()), key=str)
+    assert got == sorted(brute.decontaminate(rows, [i[:2] for i in items]), key=str)
+
+
 def test_media_formats():
     rng = np.random.default_rng(2)
     grey, colour = rng.integers(0, 256, (7, 5), dtype=np.uint8), rng.integers(0, 256, (6, 7, 3), dtype=np.uint8)
@@ -203,6 +282,38 @@ def test_media_table(spark, rows, form):
     assert np.load(__import__("io").BytesIO(one.tile)).shape == (16, 16) and media.decode(bytes(one.media)).size % 576 == 0
 
 
+def test_media_features(spark):
+    """Feature and tile of each row against areas summed one by one; null and repeated ids; an empty table."""
+    rng = random.Random(15)
+    rows = [(None, "x" * 700), (4, words(rng, 200)), (4, words(rng, 200)), (None, None), (5, "")]
+    got = sorted((r.n_bytes, r.feature, r.media_bytes, r.tile_sha256) for r in media.digests(documents(spark, rows)).collect())
+    want = []
+    for _, text in rows:
+        data = (text or "").encode()
+        image = np.frombuffer(data.ljust(max(1, -(-len(data) // 576)) * 576, b"\xff"), np.uint8).reshape(-1, 24)
+        stored = b"P5\n24 %d\n255\n" % len(image) + image.tobytes()
+        small = np.round(brute.areas(image, 8, 9), 6)
+        bits = "".join("01"[bool(a < b)] for line in small for a, b in zip(line, line[1:]))
+        tile = np.ascontiguousarray(np.clip(np.rint(brute.areas(image, 16, 16)), 0, 255), np.uint8)
+        out = __import__("io").BytesIO()
+        np.save(out, tile)
+        want.append((len(data), f"{int(bits, 2):016x}", len(stored), brute.sha(out.getvalue())))
+    assert got == sorted(want)
+    assert media.digests(documents(spark, rows).limit(0)).collect() == []
+
+
+def test_rows_without_ids_and_repeats(spark):
+    """Null ids and repeated rows come out as they came in; empty tables give none."""
+    rows = [(None, "mail a@b.cd now"), (2, "mail a@b.cd now"), (2, "mail a@b.cd now"), (None, None)]
+    plain = encoding()
+    tokens = bpe.digests(documents(spark, rows), RANKS, public_tokenizers.PATTERN)
+    assert sorted(((r.doc_id, r.n_tokens) for r in tokens.collect()), key=str) == sorted(((i, len(plain.encode_ordinary(t or ""))) for i, t in rows), key=str)
+    assert bpe.digests(documents(spark, rows).limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
+    assert sorted(((r.doc_id, r.spans) for r in pii.counts(documents(spark, rows)).collect()), key=str) == sorted(((i, "email:5:11" if t else "") for i, t in rows), key=str)
+    assert pii.counts(documents(spark, rows).limit(0)).collect() == []
+    assert simhash.near_duplicates(documents(spark, rows).limit(0)).collect() == []
+
+
 PAGES = [(3, "http://a/1", "<p>x</p>"), (1, "http://a/2", "<p>x</p>"), (7, None, None), (2, "http://a/3", ""), (9, "u\r\nWARC/1.1", "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"), (None, "n", "<p>x</p>"), (None, "n", "alone"), (1, "again", "<p>x</p>"), (12, "é", "é" * 9)]
 
 
@@ -222,6 +333,19 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_warc_archives_are_bounded(spark, monkeypatch):
+    """Large payloads go to archives of their own; what is read back is the same, with payloads if asked for."""
+    monkeypatch.setattr(warc, "CLASSES", ((10, 3), (100, 2), (1 << 62, 1)))
+    rows = [(i, "u", "x" * (i % 13) + str(i)) for i in range(40)] + [(100 + i, "u", "y" * 60 + str(i)) for i in range(5)] + [(200 + i, "u", "z" * 500 + str(i)) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write(pages)
+    found = warc.read(spark, path)
+    assert sorted((r.id, bytes(r.payload).decode()) for r in found.collect()) == sorted((f"<urn:page:{i}>", h) for i, _, h in rows)
+    assert warc.read(spark, path, payloads=False).where("payload is not null").isEmpty()
+    per = [sum(1 for _ in warc.parse(__import__("gzip").decompress(bytes(r.content)))) for r in spark.read.format("binaryFile").load(path).collect()]
+    assert len(per) > 18 and max(per) <= 3
+
+
 def test_warc_chain_rejects_payloads():
     def record(body):
         return b"WARC/1.0\r\nWARC-Type: resource\r\ncontent-length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
@@ -381,11 +505,46 @@ def test_language(spark):
     import zlib
 
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
+    numbers = spark.createDataFrame([(1, "½ ² Ⅷ ٣", None), (2, "ß", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.detect(docs.drop("score").union(numbers).where("doc_id is not null"), PIECES).where("doc_id in (1, 2) and lang is null").collect()}[1] == "und"
     untrained = langid.detect(docs.withColumn("lang", F.lit(None).cast("string")), PIECES).select("lang_pred").distinct().collect()
     assert [r.lang_pred for r in untrained] == ["und"]
     assert langid.detect(docs.limit(0), PIECES).collect() == []
 
 
+def test_language_of_long_words(spark):
+    """Languages written without blanks: every word counts, however long; repeated rows stay, and no language is left out."""
+    rng = random.Random(31)
+    letters = {f"l{k}": "abcdefghijklmnopqrstuvwxyz"[3 * k : 3 * k + 5] for k in range(7)}
+    rows = [(i, "".join(rng.choices(letters[f"l{i % 7}"], k=rng.randrange(40, 90))), f"l{i % 7}") for i in range(210)]
+    rows += rows[:3]
+    got = langid.detect(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()
+    assert len(got) == len(rows) and sum(r.lang_pred == r.lang for r in got) > 0.97 * len(rows)
+
+
+def test_language_held_out_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held = langid.detect(docs, PIECES).where("held_out and lang is not null").select("lang", "lang_pred").collect()
+    assert len(held) > 200 and sum(r.lang == r.lang_pred for r in held) >= 0.99 * len(held)
+
+
+def test_toxicity_held_out_on_the_table(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels, toxicity.held_out())
+    held = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out())
+    found = {(r.toxic, r.predicted): r["count"] for r in toxicity.score(held, model).groupBy("toxic", "predicted").count().collect()}
+    caught, missed, wrong, right = (found.get(k, 0) for k in ((1, 1), (1, 0), (0, 1), (0, 0)))
+    assert caught >= 0.9 * (caught + missed) and wrong <= 0.01 * (wrong + right), found
+
+
+def test_toxicity_of_repeats_and_long_texts(spark):
+    rows = [(i, f"word{i} " + ("grobblex" if i % 3 == 0 else "kind") + " word") for i in range(90)] + [(7, "kind words"), (7, "kind words"), (500, "kind " * 200_000), (None, None), (None, None)]
+    table = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int").withColumn("score", F.lit(1)).withColumn("text", F.lit("z"))
+    got = toxicity.detect(documents(spark, rows), table).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted((i for i, _ in rows), key=str) and all(0 <= r.score <= 1 for r in got)
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows, labels = [], []
