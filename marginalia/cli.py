@@ -57,16 +57,21 @@ def parser() -> argparse.ArgumentParser:
 
 def scoped(root: Path, config: Config, scope: str, respect: bool) -> list[str]:
     """Markdown files of a scope; none if its folder is missing."""
-    base = config.skills_dir if scope == "skills" else config.plans_dir + {"active-plans": "/active", "completed-plans": "/completed"}.get(scope, "")
-    folder = root / base
-    if not folder.exists():
+    field, base = ("skills-dir", config.skills_dir) if scope == "skills" else ("plans-dir", config.plans_dir)
+    part = base + {"active-plans": "/active", "completed-plans": "/completed"}.get(scope, "")
+    for folder in (root / base, root / part):
+        if folder.exists() and not folder.is_dir():
+            raise repo.SourceError(f"configured {field} path {folder} is not a directory")
+    if not (root / part).exists():
         return []
-    if not folder.is_dir():
-        raise repo.SourceError(f"{base} is not a directory")
-    found, _ = repo.discover(root, config, [base], respect_gitignore=respect)
+    found, _ = repo.discover(root, config, [part], respect_gitignore=respect)
     return [p for p in found if scope != "skills" or p.rpartition("/")[2] == "SKILL.md"]
 
 
+def coloured(args) -> bool:
+    return args.color == "always" or (args.color == "auto" and sys.stdout.isatty())
+
+
 def run(argv: list[str] | None = None, spark: SparkSession | None = None, cwd: str | Path = ".", out=print) -> int:
     args = parser().parse_args(argv)
     if args.command == "list" and args.scope and args.targets:
@@ -89,7 +94,7 @@ def _match(args, spark, root, config, respect, targets, cwd, out) -> int:
         paths = [p for p in repo.discover(root, config, respect_gitignore=respect)[0] if not takes(config.match_exclude, p)]
     docs = repo.documents(repo.read_files(spark, root, paths, frontmatter_only=True)).persist()
     found = ranking.explain(ranking.build_index(docs), query, args.limit).join(docs.select("path", "name", "description"), "path").orderBy(*ranking.ordering()).collect()
-    colour = args.color == "always" or (args.color == "auto" and sys.stdout.isatty())
+    colour = coloured(args)
     if args.explain:
         out(render.EXPLAIN_HEADER)
     for r in found:
@@ -112,14 +117,11 @@ def _list(args, spark, root, config, respect, targets, cwd, out) -> int:
 
 def _lint(args, spark, root, config, respect, targets, cwd, out) -> int:
     paths, _ = repo.discover(root, config, targets, respect_gitignore=respect)
-    everything = repo.all_paths(root)
     files = repo.read_files(spark, root, paths).persist()
-    bodies = repo.read_files(spark, root, [p for p in everything if p.lower().endswith((".md", ".markdown", ".mdown", "/readme")) or p.lower() == "readme"])
-    listed = spark.createDataFrame([(p,) for p in everything], "path string")
     counter = TokenCounter(args.vocabulary, args.pattern) if args.vocabulary else None
-    found = linting.findings(files, listed, config, count_tokens(counter) if counter else None, bodies).persist()
+    found = linting.findings(files, repo.existing(root), config, count_tokens(counter) if counter else None, repo.bodies(root)).persist()
     for r in linting.ordered(found).collect():
-        out(render.diagnostic(r))
+        out(render.diagnostic(r, coloured(args)))
     if budgets := linting.token_budgets(files, config):
         out(render.token_note(budgets, counter.name if counter else None))
     fix = args.command == "fix"

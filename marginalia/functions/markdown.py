@@ -15,9 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.functions.text import NOT_SLUG
+
 _NODE = T.StructType().add("seq", "integer").add("type", "string").add("value", "string").add("url", "string").add("line", "integer").add("col", "integer").add("start", "integer").add("end", "integer")
 SCHEMA = T.ArrayType(_NODE)
 _FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
@@ -286,12 +289,15 @@ def scan(source: str | None) -> list[dict]:
     return out
 
 
+_NOT_SLUG = regex.compile(NOT_SLUG)
+
+
 def slugs(titles: list[str]) -> list[str]:
     """Anchors of headings in order; one that is taken gets the next free number."""
     taken: dict[str, int] = {}
     out = []
     for title in titles:
-        base = re.sub(r"[^\w\- ]", "", title.lower()).replace(" ", "-")
+        base = _NOT_SLUG.sub("", title.lower()).replace(" ", "-")
         name = base
         while name in taken:
             taken[base] += 1

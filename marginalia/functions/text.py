@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What a heading's anchor leaves out: all but letters with their marks, numbers, connectors, hyphens and blanks.
+NOT_SLUG = r"[^\p{L}\p{M}\p{N}\p{Pc}\- ]"
+
+
 def repo_relative(path: Column, root: str) -> Column:
     """A path below root with forward slashes; null if it isn't below root."""
     plain = F.replace(path, F.lit("\\"), F.lit("/"))
@@ -75,4 +79,4 @@ def shell_escape(text: str) -> str:
 
 def slug(title: Column) -> Column:
     """A heading's anchor before repeats are numbered: lower case, punctuation gone, blanks as hyphens."""
-    return F.replace(F.regexp_replace(F.lower(title), r"[^\p{L}\p{M}\p{N}\p{Pc}\- ]", ""), F.lit(" "), F.lit("-"))
+    return F.replace(F.regexp_replace(F.lower(title), NOT_SLUG, ""), F.lit(" "), F.lit("-"))

@@ -1,8 +1,10 @@
 """Path rules over a corpus of Markdown files: a finding for each violation, and edits that mend some.
 
-Inputs are tables: files (path, content), and every path that exists, folders and other kinds of file
-too, since a reference may point to any of them. A file's policy is a struct of column expressions.
-References meet the existing paths, and links with an anchor the headings of their target, by joins.
+Inputs are tables: files (path, content), and what exists, folders and other kinds of file too, since a
+reference may point to any of them: a table of all paths, or a function that looks up the targets asked
+for. A file's policy is a struct of column expressions. Files are parsed once for their front matter and
+once for their references; what is found in a row is an array of findings. References meet the existing
+paths, and links with an anchor the headings of their target, by joins.
 """
 
 from __future__ import annotations
@@ -34,20 +36,35 @@ def existing_paths(paths: DataFrame) -> DataFrame:
     return files.union(paths.select(F.explode(above).alias("path"), F.lit(True).alias("is_folder"))).distinct()
 
 
-def _finding(df: DataFrame, group: int, order: Column, severity: Column, rule: str, message: Column, line: Column | None = None, column: Column | None = None, fixable: bool = False, edit: Column | None = None) -> DataFrame:
-    return df.where(~F.array_contains("policy.ignored", rule)).select(
-        F.col("path").alias("file"),
-        (line if line is not None else F.lit(1)).cast("int").alias("line"),
-        (column if column is not None else F.lit(1)).cast("int").alias("column"),
+def _found(severity: Column, rule: str, group: int, message: Column, order: Column | None = None, line: Column | None = None, column: Column | None = None, edit: Column | None = None) -> Column:
+    """A finding as a struct; those with an edit can be mended."""
+    one = F.lit(1)
+    return F.struct(
+        F.coalesce(line if line is not None else one, one).cast("int").alias("line"),
+        F.coalesce(column if column is not None else one, one).cast("int").alias("column"),
         severity.alias("severity"),
         F.lit(rule).alias("rule"),
         message.alias("message"),
-        F.lit(fixable).alias("fixable"),
-        F.struct(F.lit(group).alias("group"), order.cast("string").alias("order")).alias("seq"),
+        F.lit(edit is not None).alias("fixable"),
+        F.struct(F.lit(group).alias("group"), (order if order is not None else F.lit("")).cast("string").alias("order")).alias("seq"),
         (edit if edit is not None else F.lit(None).cast(EDIT)).alias("edit"),
     )
 
 
+def _rows(df: DataFrame, found: Column) -> DataFrame:
+    """A row for each finding of the array found that the policy doesn't ignore."""
+    kept = F.filter(found, lambda x: ~F.array_contains("policy.ignored", x["rule"]))
+    return df.select(F.col("path").alias("file"), F.explode(kept).alias("x")).select("file", *(F.col(f"x.{c}") for c in (*COLUMNS[1:], "seq", "edit")))
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<struct<line:int,column:int,severity:string,rule:string,message:string,fixable:boolean,seq:struct<group:int,order:string>,edit:{EDIT}>>")
+
+
+def _when(condition: Column, found: Column) -> Column:
+    return F.when(condition, F.array(found)).otherwise(_none())
+
+
 def with_policy(files: DataFrame, config: Config) -> DataFrame:
     ship(files.sparkSession)
     return files.withColumn("policy", config.policy(F.col("path")))
@@ -56,7 +73,7 @@ def with_policy(files: DataFrame, config: Config) -> DataFrame:
 def token_findings(files: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
     df = files.where("policy.max_tokens is not null").withColumn("n", count(F.col("content"))).where("n > policy.max_tokens")
     text = F.format_string("File has %d tokens, which exceeds configured max-tokens = %d.", "n", "policy.max_tokens")
-    return _finding(df, 0, F.lit(""), F.col("policy.max_tokens_severity"), "max-tokens", text)
+    return _rows(df, F.array(_found(F.col("policy.max_tokens_severity"), "max-tokens", 0, text)))
 
 
 def token_budgets(files: DataFrame, config: Config) -> int:
@@ -67,7 +84,7 @@ def token_budgets(files: DataFrame, config: Config) -> int:
 def line_findings(files: DataFrame) -> DataFrame:
     df = files.where("policy.max_lines is not null").withColumn("n", X.count_lines(F.col("content"))).where("n > policy.max_lines")
     text = F.format_string("File has %d lines, which exceeds configured max-lines = %d.", "n", "policy.max_lines")
-    return _finding(df, 1, F.lit(""), F.col("policy.max_lines_severity"), "max-lines", text)
+    return _rows(df, F.array(_found(F.col("policy.max_lines_severity"), "max-lines", 1, text)))
 
 
 def frontmatter_findings(files: DataFrame) -> DataFrame:
@@ -75,16 +92,20 @@ def frontmatter_findings(files: DataFrame) -> DataFrame:
     error = F.lit("error")
     df = files.where("size(policy.required) > 0 or size(policy.field_max_chars) > 0").withColumn("front", frontmatter("content"))
     broken = F.format_string("Frontmatter block is malformed or uses unsupported YAML constructs (line %d).", "front.malformed_line")
-    malformed = _finding(df.where("front.status = 'malformed'"), 2, F.lit(""), error, "frontmatter-malformed", broken)
-    sound = df.where("front.status != 'malformed'")
+    malformed = F.col("front.status") == "malformed"
     keys = F.transform("front.fields", lambda f: f["key"])
-    gone = sound.select("path", "policy", F.posexplode(F.filter("policy.required", lambda r: ~F.array_contains(keys, r))).alias("n", "field"))
-    missing = _finding(gone, 3, F.lpad(F.col("n").cast("string"), 6, "0"), error, "frontmatter-field-missing", F.format_string("Required frontmatter field `%s` is missing.", "field"))
-    limits = sound.select("path", "policy", "front", F.explode("policy.field_max_chars").alias("limit"))
-    hit = F.try_element_at(F.filter("front.fields", lambda f: (f["key"] == F.col("limit.field")) & (f["kind"] == "scalar")), F.lit(1))["scalar"]
-    long = limits.withColumn("n", F.length(hit)).where("n > limit.max_chars")
-    text = F.format_string("Frontmatter field `%s` has %d characters, which exceeds configured max-chars = %d.", "limit.field", "n", "limit.max_chars")
-    return malformed.union(missing).union(_finding(long, 4, F.col("limit.field"), error, "frontmatter-field-max-chars", text))
+    gone = F.filter("policy.required", lambda r: ~F.array_contains(keys, r))
+    missing = F.transform(gone, lambda r, n: _found(error, "frontmatter-field-missing", 3, F.format_string("Required frontmatter field `%s` is missing.", r), F.lpad(n.cast("string"), 6, "0")))
+
+    def size_of(limit: Column) -> Column:
+        hit = F.filter("front.fields", lambda f: (f["key"] == limit["field"]) & (f["kind"] == "scalar"))
+        return F.length(F.try_element_at(hit, F.lit(1))["scalar"])
+
+    message = "Frontmatter field `%s` has %d characters, which exceeds configured max-chars = %d."
+    over = F.filter("policy.field_max_chars", lambda m: F.coalesce(size_of(m) > m["max_chars"], F.lit(False)))
+    long = F.transform(over, lambda m: _found(error, "frontmatter-field-max-chars", 4, F.format_string(message, m["field"], size_of(m), m["max_chars"]), m["field"]))
+    found = F.when(malformed, F.array(_found(error, "frontmatter-malformed", 2, broken))).otherwise(F.concat(missing, long))
+    return _rows(df, found)
 
 
 def reference_candidates(files: DataFrame, config: Config) -> DataFrame:
@@ -104,35 +125,46 @@ def _destinations(file: pd.Series, target: pd.Series, from_root: pd.Series, is_f
     return pd.Series([R.link_to(*row) for row in zip(file, target, from_root, is_folder, strict=True)])
 
 
-def reference_findings(files: DataFrame, all_paths: DataFrame, config: Config, bodies: DataFrame | None = None) -> DataFrame:
+#: A table of all paths, or what finds the (target, is_folder) that exist among targets (target).
+Existing = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def reference_findings(files: DataFrame, existing: Existing, config: Config, bodies: Existing | None = None) -> DataFrame:
     """Links and code spans whose target or anchor is missing, and code spans that should be links.
 
-    bodies: (path, content) of all Markdown files that links may point to; files where not given.
+    bodies: (path, content) of all Markdown files that links may point to, or what reads those among
+    targets; files where not given.
     """
     # any spelling of a target's case counts as its own path; folders answer for links without an anchor
-    paths = existing_paths(all_paths).select(F.col("path").alias("target"), "is_folder")
-    refs = reference_candidates(files, config).join(paths, "target", "left")
-    seq = F.lpad(F.col("seq").cast("string"), 8, "0")
-    spot = (F.col("line"), F.col("col"))
-    code = refs.where("not is_link")
-    lost = _finding(code.where("is_folder is null and not folder_like and policy.backtick_severity is not null"), 5, seq, F.col("policy.backtick_severity"), "unresolved-backtick-path", F.format_string("Local repository path `%s` does not resolve within the repository.", "ref"), *spot)
-    written = code.where("is_folder is not null and policy.prefer_links").withColumn("to", _destinations("path", "target", F.col("syntax") == "root", "is_folder"))
-    edit = F.struct("start", "end", F.format_string("[%s](%s)", "ref", "to").alias("replacement")).cast(EDIT)
-    unlinked = _finding(written, 5, seq, F.lit("error"), "prefer-links-for-local-paths", F.format_string("Local repository path `%s` should use Markdown link syntax.", "ref"), *spot, fixable=True, edit=edit)
-    links = refs.where("is_link")
-    asks = (F.col("is_folder") == F.lit(False)) & F.col("anchor").isNotNull() & R.is_markdown(F.col("target"))
+    refs = reference_candidates(files, config)
+    paths = existing(refs.select("target").distinct()) if callable(existing) else existing_paths(existing).select(F.col("path").alias("target"), "is_folder")
+    refs = refs.join(paths, "target", "left")
+    asks = F.col("is_link") & (F.col("is_folder") == F.lit(False)) & F.col("anchor").isNotNull() & R.is_markdown(F.col("target"))
+    if callable(bodies):
+        bodies = bodies(refs.where(asks).select("target").distinct())
     anchors = (bodies if bodies is not None else files).select(F.col("path").alias("target"), F.explode(heading_anchors("content")).alias("anchor")).distinct()
-    dangling = links.where(asks).join(anchors, ["target", "anchor"], "left_anti")
-    nowhere = links.where("(is_folder is null and not folder_like) or (is_folder and anchor is not null)")
-    bad = nowhere.unionByName(dangling)
-    text = F.format_string("Local repository link `[%s](%s)` does not resolve within the repository.", "value", "ref")
-    return lost.union(unlinked).union(_finding(bad, 5, seq, F.lit("error"), "unresolved-link-path", text, *spot))
+    refs = refs.withColumn("asks", F.coalesce(asks, F.lit(False))).join(anchors.withColumn("asks", F.lit(True)).withColumn("answered", F.lit(True)), ["target", "anchor", "asks"], "left")
+
+    is_link, found, folder = F.col("is_link"), F.col("is_folder").isNotNull(), F.coalesce("is_folder", F.lit(False))
+    absent = ~found & ~F.col("folder_like")
+    spot = {"order": F.lpad(F.col("seq").cast("string"), 8, "0"), "line": F.col("line"), "column": F.col("col")}
+    lost = _found(F.col("policy.backtick_severity"), "unresolved-backtick-path", 5, F.format_string("Local repository path `%s` does not resolve within the repository.", "ref"), **spot)
+    edit = F.struct("start", "end", F.format_string("[%s](%s)", "ref", _destinations("path", "target", F.col("syntax") == "root", folder)).alias("replacement")).cast(EDIT)
+    unlinked = _found(F.lit("error"), "prefer-links-for-local-paths", 5, F.format_string("Local repository path `%s` should use Markdown link syntax.", "ref"), edit=edit, **spot)
+    dead = _found(F.lit("error"), "unresolved-link-path", 5, F.format_string("Local repository link `[%s](%s)` does not resolve within the repository.", "value", "ref"), **spot)
+    bad = absent | (folder & F.col("anchor").isNotNull()) | (F.col("asks") & F.col("answered").isNull())
+    out = F.concat(
+        _when(~is_link & absent & F.col("policy.backtick_severity").isNotNull(), lost),
+        _when(~is_link & found & F.col("policy.prefer_links"), unlinked),
+        _when(is_link & bad, dead),
+    )
+    return _rows(refs, out)
 
 
-def findings(files: DataFrame, all_paths: DataFrame, config: Config, count: Callable[[Column], Column] | None = None, bodies: DataFrame | None = None) -> DataFrame:
+def findings(files: DataFrame, existing: Existing, config: Config, count: Callable[[Column], Column] | None = None, bodies: Existing | None = None) -> DataFrame:
     """All findings with seq and edit; without a token counter token budgets aren't looked at."""
     known = with_policy(files, config)
-    out = line_findings(known).union(frontmatter_findings(known)).union(reference_findings(known, all_paths, config, bodies))
+    out = line_findings(known).union(frontmatter_findings(known)).union(reference_findings(known, existing, config, bodies))
     return out.union(token_findings(known, count)) if count else out
 
 

@@ -9,6 +9,8 @@ from marginalia.functions.text import shell_escape
 
 #: Colours of score bands.
 BANDS = {"high": "32", "medium": "33", "low": "31"}
+#: Colours of severities.
+SEVERITIES = {"error": "31", "warning": "33"}
 
 
 def field(text: str | None) -> str:
@@ -31,9 +33,10 @@ def explain_row(score: float, relative: str, coverage: str, band: str, rest: str
     return " | ".join((f"\x1b[{BANDS[band]}m{shown}\x1b[0m" if colour else shown, relative, coverage, rest))
 
 
-def diagnostic(found) -> str:
+def diagnostic(found, colour: bool = False) -> str:
     """Two lines for a finding: where and what."""
-    return f"{found.file}:{found.line}:{found.column}  {found.severity}  {found.rule}{'  fixable' if found.fixable else ''}\n{found.message}"
+    severity = f"\x1b[{SEVERITIES[found.severity]}m{found.severity}\x1b[0m" if colour else found.severity
+    return f"{found.file}:{found.line}:{found.column}  {severity}  {found.rule}{'  fixable' if found.fixable else ''}\n{found.message}"
 
 
 def fix_hint(count: int, rules: Iterable[str], targets: Iterable[str]) -> str | None:

@@ -8,7 +8,8 @@ source is also registered as the format "mdrepo"; its path must be readable by t
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,6 @@ from marginalia.plans.config import CONFIG_NAME, Config, load
 from marginalia.runtime import ship
 from marginalia.sources.globs import Pattern, compile_patterns, decide, takes
 
-IGNORE_FILES = (".gitignore", ".ignore")
 #: Files that one task reads.
 CHUNK = 512
 
@@ -44,34 +44,55 @@ def infer_root(targets: list[str | Path] = (), config: str | Path | None = None,
     return Path(cwd).resolve()
 
 
-def _ignores(folder: Path) -> list[Pattern]:
-    out: list[Pattern] = []
-    for name in IGNORE_FILES:
-        if (folder / name).is_file():
-            out += compile_patterns((folder / name).read_text(encoding="utf-8", errors="replace").splitlines())
-    return out
+def _patterns(file: Path) -> list[Pattern]:
+    return compile_patterns(file.read_text(encoding="utf-8", errors="replace").splitlines()) if file.is_file() else []
+
+
+def global_ignores() -> list[Pattern]:
+    """The patterns of git's global excludes file: core.excludesFile, or else git/ignore in the user's configuration folder."""
+    home = Path.home()
+    base = Path(os.environ.get("XDG_CONFIG_HOME") or home / ".config") / "git"
+    for settings in (home / ".gitconfig", base / "config"):
+        section = ""
+        for line in settings.read_text(encoding="utf-8", errors="replace").splitlines() if settings.is_file() else ():
+            line = line.strip()
+            if line.startswith("["):
+                section = line.strip("[]").strip().lower()
+            key, _, value = line.partition("=")
+            if section == "core" and key.strip().lower() == "excludesfile":
+                return _patterns(Path(value.strip().strip('"')).expanduser())
+    return _patterns(base / "ignore")
 
 
 def walk(root: Path, start: Path | None = None, respect_gitignore: bool = True, recurse: bool = True) -> Iterator[str]:
-    """Relative paths of the files below start, sorted; hidden ones too, ignored ones and links not."""
+    """Relative paths of the files below start, sorted; hidden ones too, ignored ones not. Links aren't followed.
+
+    Ignore files count from a path's folder upwards, above the root too; of one kind the nearest that says
+    anything decides. The kinds in order: .ignore; .gitignore, up to the folder that holds .git; the exclude
+    file of that .git; git's global excludes.
+    """
     start = start or root
-    rules: dict[Path, list[Pattern]] = {}
+    known: dict[Path, list[Pattern]] = {}
+    everywhere = global_ignores() if respect_gitignore else []
+
+    def verdict(file: str, path: Path, is_folder: bool, inside_git: bool) -> bool | None:
+        for folder in path.parents:
+            where = folder / file
+            if where not in known:
+                known[where] = _patterns(where)
+            found = decide(known[where], path.relative_to(folder).as_posix(), is_folder)
+            if found is not None:
+                return found
+            if inside_git and (folder / ".git").exists():
+                return None
+        return None
 
     def ignored(path: Path, is_folder: bool) -> bool:
-        folder = path.parent
-        while True:  # the nearest ignore file that says anything decides
-            if folder not in rules:
-                rules[folder] = _ignores(folder)
-                if folder == root:
-                    exclude = root / ".git" / "info" / "exclude"
-                    if exclude.is_file():
-                        rules[folder] = compile_patterns(exclude.read_text(errors="replace").splitlines()) + rules[folder]
-            found = decide(rules[folder], path.relative_to(folder).as_posix(), is_folder)
+        for file, inside_git in ((".ignore", False), (".gitignore", True), (".git/info/exclude", True)):
+            found = verdict(file, path, is_folder, inside_git)
             if found is not None:
                 return found
-            if folder == root or root not in folder.parents:
-                return False
-            folder = folder.parent
+        return bool(decide(everywhere, path.relative_to(root).as_posix(), is_folder))
 
     def below(folder: Path) -> Iterator[str]:
         for entry in sorted(os.scandir(folder), key=lambda e: e.name):
@@ -82,7 +103,7 @@ def walk(root: Path, start: Path | None = None, respect_gitignore: bool = True,
                 continue
             if entry.is_file():
                 yield path.relative_to(root).as_posix()
-            elif recurse:
+            elif recurse and entry.is_dir():
                 yield from below(path)
 
     yield from below(start)
@@ -97,18 +118,23 @@ def discover(root: Path, config: Config, targets: list[str | Path] = (), recurse
     found, explicit = set(), set()
     for target in [Path(root, t).resolve() for t in targets] or [root]:
         if target.is_file():
-            if target.suffix != ".md":
+            if not is_markdown(target.name):
                 raise SourceError(f"{target} is not a Markdown file; only .md files are supported as explicit targets")
             explicit.add(_below(root, target))
         elif target.is_dir():
             listed = walk(root, target, respect, recurse)
-            found.update(p for p in listed if p.endswith(".md") and takes(config.include, p) and not takes(config.exclude, p))
+            found.update(p for p in listed if is_markdown(p.rpartition("/")[2]) and takes(config.include, p) and not takes(config.exclude, p))
         else:
             raise SourceError(f"{target} doesn't exist")
     by_component = lambda p: p.split("/")
     return sorted(found | explicit, key=by_component), sorted(explicit, key=by_component)
 
 
+def is_markdown(name: str) -> bool:
+    """Whether a file's name has the extension md; one that is only the extension has none."""
+    return name.endswith(".md") and name != ".md"
+
+
 def _below(root: Path, path: Path) -> str:
     try:
         return path.relative_to(root).as_posix()
@@ -116,11 +142,6 @@ def _below(root: Path, path: Path) -> str:
         raise SourceError(f"{path} is not under {root}") from outside
 
 
-def all_paths(root: Path) -> list[str]:
-    """Every file below root, ignored ones too: what a reference may point to."""
-    return list(walk(root, respect_gitignore=False))
-
-
 class Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -138,18 +159,18 @@ class RepositoryReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
         for path in partition.paths:
             try:
-                with open(os.path.join(self.root, path), encoding="utf-8", newline="") as source:
-                    yield path, "".join(_head(source)) if self.head else source.read()
+                content = Path(self.root, path).read_bytes().decode()
+                yield path, _head(content) if self.head else content
             except (OSError, UnicodeDecodeError) as bad:
                 raise RuntimeError(f"failed to read {path}: {bad}") from bad
 
 
-def _head(lines: Iterator[str]) -> Iterator[str]:
-    """The lines of a file's front matter."""
-    for n, line in enumerate(lines):
-        yield line
-        if line.rstrip("\r\n") == "---" and n or not n and line.rstrip("\r\n") != "---":
-            return
+def _head(content: str) -> str:
+    """A file's front matter: up to the second line of three hyphens; the first line where there is none."""
+    end = re.match(r"---\r?\n(?:.*\n)*?---\r?(?:\n|\Z)", content)
+    if end:
+        return end[0]
+    return content if content.startswith(("---\n", "---\r\n")) else content.partition("\n")[0]
 
 
 class RepositorySource(DataSource):
@@ -177,9 +198,14 @@ def register(spark: SparkSession) -> None:
 
 def read_files(spark: SparkSession, root: Path, paths: list[str], frontmatter_only: bool = False) -> DataFrame:
     """(path, content) of the paths below root, read in tasks of CHUNK files."""
-    ship(spark)
-    reader = RepositoryReader(str(root), paths, frontmatter_only)
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, -(-len(paths) // CHUNK)))
+    return contents(listed, root, frontmatter_only)
+
+
+def contents(listed: DataFrame, root: Path, frontmatter_only: bool = False) -> DataFrame:
+    """(path, content) of listed (path)."""
+    ship(listed.sparkSession)
+    reader = RepositoryReader(str(root), [], frontmatter_only)
 
     def read(batches):
         import pandas as pd
@@ -190,6 +216,28 @@ def read_files(spark: SparkSession, root: Path, paths: list[str], frontmatter_on
     return listed.mapInPandas(read, "path string, content string")
 
 
+def existing(root: Path) -> Callable[[DataFrame], DataFrame]:
+    """What finds the (target, is_folder) that exist on disk among targets (target): ignored files, folders and links count too."""
+
+    def look(targets: DataFrame) -> DataFrame:
+        def find(batches):
+            import pandas as pd
+
+            for batch in batches:
+                found = [(t, os.path.isdir(os.path.join(root, t))) for t in batch["target"] if os.path.exists(os.path.join(root, t))]
+                yield pd.DataFrame(found, columns=["target", "is_folder"])
+
+        ship(targets.sparkSession)
+        return targets.mapInPandas(find, "target string, is_folder boolean")
+
+    return look
+
+
+def bodies(root: Path) -> Callable[[DataFrame], DataFrame]:
+    """What reads (path, content) of targets (target) below root."""
+    return lambda targets: contents(targets.select(F.col("target").alias("path")), root)
+
+
 def documents(files: DataFrame) -> DataFrame:
     """path, path_prefix, name, description and body of files (path, content).
 
