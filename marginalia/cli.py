@@ -93,13 +93,11 @@ def _match(args, spark, root, config, respect, targets, cwd, out) -> int:
     else:
         paths = [p for p in repo.discover(root, config, respect_gitignore=respect)[0] if not takes(config.match_exclude, p)]
     docs = repo.documents(repo.read_files(spark, root, paths, frontmatter_only=True)).persist()
-    found = ranking.explain(ranking.build_index(docs), query, args.limit).join(docs.select("path", "name", "description"), "path").orderBy(*ranking.ordering()).collect()
-    colour = coloured(args)
+    found = ranking.explain(ranking.build_index(docs), query, args.limit).join(docs.select("path", "name", "description"), "path").orderBy(*ranking.ordering())
     if args.explain:
         out(render.EXPLAIN_HEADER)
-    for r in found:
-        line = r.path if args.path_only else render.row(r.path, r["name"], r.description, query if colour else None)
-        out(render.explain_row(r.score, r.relative, r.coverage, r.band, line, colour) if args.explain else line)
+    for r in render.match_rows(found, query, coloured(args), args.explain, args.path_only).collect():
+        out(r.line)
     return 0
 
 
@@ -120,8 +118,8 @@ def _lint(args, spark, root, config, respect, targets, cwd, out) -> int:
     files = repo.read_files(spark, root, paths).persist()
     counter = TokenCounter(args.vocabulary, args.pattern) if args.vocabulary else None
     found = linting.findings(files, repo.existing(root), config, count_tokens(counter) if counter else None, repo.bodies(root)).persist()
-    for r in linting.ordered(found).collect():
-        out(render.diagnostic(r, coloured(args)))
+    for r in render.diagnostics(linting.ordered(found), coloured(args)).collect():
+        out(r.text)
     if budgets := linting.token_budgets(files, config):
         out(render.token_note(budgets, counter.name if counter else None))
     fix = args.command == "fix"

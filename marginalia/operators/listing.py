@@ -9,10 +9,18 @@ from marginalia.functions import text as T
 from marginalia.plans.config import Config
 
 
-def list_documents(docs: DataFrame, explicit: tuple[str, ...] = ()) -> DataFrame:
-    """path, name and description of documents that have a description, or were asked for by path."""
-    kept = docs.where(F.col("description").isNotNull() | F.col("path").isin(*explicit)) if explicit else docs.where("description is not null")
-    return kept.orderBy(T.components(F.col("path"))).select("path", "name", "description")
+def list_documents(docs: DataFrame, explicit: tuple[str, ...] = (), scope: str | None = None, config: Config | None = None, folder: str | None = None, recurse: bool = True) -> DataFrame:
+    """path, name and description of documents that have a description, or were asked for by path.
+
+    A scope, or a folder with what is below it or itself only, leaves out the other paths.
+    """
+    path = F.col("path")
+    kept = docs.where(in_scope(path, scope, config)) if scope else docs
+    if folder is not None:
+        kept = kept.where(F.startswith(path, F.lit(f"{folder}/" if folder else "")) if recurse else shallow(path, folder))
+    described = F.col("description").isNotNull()
+    kept = kept.where(described | path.isin(*explicit) if explicit else described)
+    return kept.orderBy(T.components(path)).select("path", "name", "description")
 
 
 def shallow(path: Column, folder: str = "") -> Column:

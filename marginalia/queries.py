@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia import render
 from marginalia.functions import text
-from marginalia.functions.analyzer import explode_terms
+from marginalia.functions.analyzer import explode_terms, stems_of
 from marginalia.functions.frontmatter import frontmatter
 from marginalia.functions.markdown import heading_anchors, markdown_nodes
 from marginalia.operators import fix, lint, listing, ranking
@@ -16,6 +17,7 @@ from marginalia.operators import references as R
 from marginalia.plans.config import default, parse
 from marginalia.runtime import ship
 from marginalia.sources import adapters
+from marginalia.sources import repository as repo
 from marginalia.sources.globs import compile_patterns, taken
 
 #: What the ranking queries look for; words that occur in the tables, and stop words that don't count.
@@ -23,6 +25,12 @@ QUERY = "the thon inwh der que OnSt erst's"
 REPEATED = "thon thon inwh plan"
 PARTS_QUERY = "small blue ECONOMY ring"
 PAGES_QUERY = "thon privacy elle thant"
+#: A query whose terms have stems that differ from them, and words with well-known stems: Porter2's own sample.
+STEMMED_QUERY = "larger LARGE economies rings plates"
+STEMS = (
+    "consign consigned consigning consignment consist consisted consistency consistent consistently consisting consists consolation consolations consolatory console consoled consoles consolidate consolidated consolidating consoling consolingly consols consonant",
+    "knack knackeries knacks knag knave knaves knavish kneaded kneading knee kneel kneeled kneeling kneels knees knell knelt knew knick knif knife knight knightly knights knit knits knitted knitting knives knob knobs knock knocked knocker knockers knocking knocks",
+)
 #: A rule file for the queries on literals and documents.
 RULES = """
 [[rules]]
@@ -161,24 +169,6 @@ def lint_max_lines(spark: SparkSession, d: str) -> DataFrame:
     return lint.line_findings(lint.with_policy(files, parse(RULES))).select(*lint.COLUMNS)
 
 
-def lint_field_max_chars(spark: SparkSession, d: str) -> DataFrame:
-    """Names and descriptions of documents beyond their path's limit."""
-    docs = adapters.documents(spark, d)
-    known = docs.withColumn("policy", parse(RULES).policy(F.col("path")))
-    values = known.select("path", "policy", F.explode(F.create_map(F.lit("name"), "name", F.lit("description"), "description")).alias("field", "value"))
-    limits = values.withColumn("limit", F.try_element_at(F.filter("policy.field_max_chars", lambda x: x["field"] == F.col("field")), F.lit(1))["max_chars"])
-    return limits.where(F.length("value") > F.col("limit")).select("path", "field", F.length("value").cast("long").alias("n"), F.col("limit").cast("long").alias("limit"))
-
-
-def lint_required_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Required fields that documents lack, where a name needs more than one line of text."""
-    docs = adapters.documents(spark, d)
-    keys = F.array_compact(F.array(F.when(F.col("body").contains("\n"), F.lit("name")), F.when(F.length("body") > 2000, F.lit("description"))))
-    need = docs.select("path", F.explode(parse(RULES).policy(F.col("path"))["required"]).alias("field"))
-    have = docs.select("path", F.explode(keys).alias("field"))
-    return need.join(have, ["path", "field"], "left_anti")
-
-
 def rule_policy_fold(spark: SparkSession, d: str) -> DataFrame:
     p = parse(RULES).policy(F.col("path"))
     docs = adapters.documents(spark, d).select("path", p.alias("p"))
@@ -221,34 +211,172 @@ def page_links_resolved(spark: SparkSession, d: str) -> DataFrame:
     return _targets(spark, d)
 
 
-def unresolved_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links to paths that no page has, by how many there are of each."""
-    pages = adapters.table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]*/([^?#]*)", 1).alias("path"))
-    known = lint.existing_paths(pages.where("path != ''")).select(F.col("path").alias("target"))
-    return _targets(spark, d).where("target is not null and not folder_like").join(known, "target", "left_anti").groupBy("target").agg(F.count("*").alias("n"))
-
-
 def anchor_slugs(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's lines as headings: anchors with numbers for those that repeat."""
+    """Each document's lines as headings: their anchors before repeats are numbered."""
     docs = adapters.documents(spark, d).select("path", F.posexplode(F.split("body", "\n")).alias("n", "title"))
-    base = docs.select("path", F.col("n").cast("long").alias("n"), text.slug(F.trim(F.translate("title", "<>*_`[]!\\#&~|", ""))).alias("slug"))
-    again = F.row_number().over(ranking.Window.partitionBy("path", "slug").orderBy("n")) - 1
-    return base.select("path", "n", F.when(again > 0, F.concat_ws("-", "slug", again.cast("string"))).otherwise(F.col("slug")).alias("anchor"))
+    return docs.select("path", F.col("n").cast("long").alias("n"), text.slug(F.trim(F.translate("title", "<>*_`[]!\\#&~|", ""))).alias("slug"))
+
+
+#: Rules for the cards and notes made of the parts.
+CARD_RULES = """
+[[rules]]
+path = "*.md"
+[rules.frontmatter]
+required = ["name", "description", "tags"]
+[rules.frontmatter.fields.name]
+max-chars = 9
+[rules.frontmatter.fields.description]
+max-chars = 20
+
+[[rules]]
+path = "Brand-7/"
+disable = ["frontmatter-field-missing"]
+"""
+NOTE_RULES = """
+[[rules]]
+path = "*.md"
+enable = ["unresolved-backtick-path"]
+
+[[rules]]
+path = "Brand-1*/"
+enable = ["prefer-links-for-local-paths"]
+
+[[rules]]
+path = "Brand-5"
+severity = "warn"
+enable = ["unresolved-backtick-path"]
+
+[[rules]]
+path = "Brand-6/"
+disable = ["unresolved-backtick-path", "unresolved-link-path"]
+"""
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    folder = F.replace(F.col("p_brand"), F.lit("#"), F.lit("-"))
+    return adapters.table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_type", "p_brand", "p_size", folder.alias("folder"), F.concat(folder, F.lit("/part_"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"))
+
+
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    """A file with front matter for each part: blank names, folded descriptions or none, lists, mappings, and blocks that don't end."""
+    k = F.col("k")
+    lines = lambda template, *columns: F.format_string(template, *columns)
+    head = F.concat(
+        F.lit("---\n"),
+        F.when(k % 11 == 0, "name:\n").otherwise(lines("name: '%s'\n", "p_name")),
+        F.when(k % 3 == 0, lines("description: >\n  %s\n  %s\n\n  size %d\n", "p_type", "p_brand", "p_size")).when(k % 3 == 1, lines("description: %s %s\n", "p_type", "p_name")).otherwise(""),
+        F.when(k % 4 == 0, lines("tags:\n  - %s\n  - size %d\n", "folder", "p_size")).otherwise(""),
+        F.when(k % 5 == 0, lines("box:\n  size: %d\n", "p_size")).otherwise(""),
+        F.when(k % 13 == 0, "").otherwise("---\n"),
+    )
+    return _parts(spark, d).select("path", F.concat(head, F.lit("body\n")).alias("content"))
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    """A file of headings, links and code spans for each part; many of the references point nowhere."""
+    slug = F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))
+    content = F.format_string(
+        "# %s\nIntro with [next](part_%d.md) and `part_%d.md` there.\n\n## Size %d\n* see [own](#size-%d) or [lost](#size-%d)\n\n## %s\n\n"
+        "Über [twin](../%s/part_%d.md#%s-1), `Brand-2/part_%d.md`, `../Brand-3/` and [root](/Brand-4/part_%d.md#size-%d).\n```\n[x](nowhere.md) `nowhere.md`\n```\n",
+        "p_name", F.col("k") + 7, F.col("k") + 1, "p_size", "p_size", F.col("p_size") + 1, "p_name", "folder", "k", slug, F.col("k") + 1, F.col("k") + 2, "p_size",
+    )
+    return _parts(spark, d).select("path", content.alias("content"))
+
+
+def frontmatter_fields(spark: SparkSession, d: str) -> DataFrame:
+    parsed = _cards(spark, d).select("path", frontmatter("content").alias("f")).select("path", "f.status", F.col("f.malformed_line").cast("long").alias("malformed_line"), F.inline_outer("f.fields"))
+    return parsed.select("path", "status", "malformed_line", "key", "kind", "scalar", F.array_join("seq", ",").alias("seq"), F.array_join(F.transform("map", lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("map"))
+
+
+def repository_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Name and description as the repository source reads them from front matter."""
+    return repo.documents(_cards(spark, d)).select("path", "path_prefix", "name", "description")
 
 
-def _line_and_field_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Findings by built-in functions only: lines beyond the limit, and fields that are missing, which count as fixable here."""
-    lines = lint_max_lines(spark, d).select("file", "severity", "rule", "fixable")
-    missing = lint_required_fields(spark, d).select(F.col("path").alias("file"), F.lit("error").alias("severity"), F.lit("frontmatter-field-missing").alias("rule"), F.lit(True).alias("fixable"))
-    return lines.union(missing)
+def list_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue of a folder's own files, and one more that was asked for by name."""
+    docs = repo.documents(_cards(spark, d))
+    return listing.rows(listing.list_documents(docs, ("Brand-2/part_99.md", "Brand-8/part_5.md"))).union(listing.rows(listing.list_documents(docs, folder="Brand-2", recurse=False)))
+
+
+def list_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Which scopes a path belongs to; documents in folders of plans and skills."""
+    config = parse('skills-dir = "src1"\nplans-dir = "src2"\n')
+    docs = adapters.documents(spark, d)
+    moved = F.replace(F.replace(F.col("path"), F.lit("/en/"), F.lit("/active/")), F.lit("/de/"), F.lit("/completed/"))
+    docs = docs.select(F.regexp_replace(moved, r"/doc_(\d+)0\.md$", "/doc_$1/SKILL.md").alias("path"))
+    path = F.col("path")
+    scopes = [listing.in_scope(path, s, config).alias(s.replace("-", "_")) for s in ("skills", "plans", "active-plans", "completed-plans")]
+    return docs.select("path", *scopes, listing.shallow(path, "src2/active").alias("shallow"), text.repo_relative(F.concat(F.lit("C:\\work\\"), F.replace(path, F.lit("/"), F.lit("\\"))), "C:\\work\\src2").alias("below"))
+
+
+def discover_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that patterns include and do not exclude; a folder's pattern doesn't reach what is below it."""
+    config = parse('include = ["src1/**", "doc_*2.md", "/src3/*/doc_??.md"]\nexclude = ["src1/fr/*", "src2", "doc_2?.md", "!doc_22.md"]\n')
+    return adapters.documents(spark, d).where(config.in_scope(F.col("path"))).select("path")
+
+
+def stem_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The stems of the parts' words, and of words for which they are known."""
+    words = spark.createDataFrame([(w,) for w in " ".join(STEMS).split()], "raw string")
+    found = explode_terms(_parts(spark, d).select(F.concat_ws(" ", "p_name", "p_type").alias("text")), "text", [])
+    return stems_of(found.union(words)).select("raw", "term")
+
+
+def match_parts_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    return _top(ranking.match(ranking.build_index(adapters.parts(spark, d)), STEMMED_QUERY, 10))
+
+
+def match_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as a terminal shows them: scores in their band's colour, the query's terms marked."""
+    docs = adapters.parts(spark, d)
+    found = ranking.explain(ranking.build_index(docs), STEMMED_QUERY, 10).join(docs.select("path", "name", "description"), "path")
+    return render.match_rows(found, STEMMED_QUERY, colour=True, explain=True).select("path", "line")
+
+
+def match_paths(spark: SparkSession, d: str) -> DataFrame:
+    docs = adapters.parts(spark, d)
+    found = ranking.match(ranking.build_index(docs), STEMMED_QUERY, 10).join(docs.select("path", "name", "description"), "path")
+    return render.match_rows(found, STEMMED_QUERY, colour=True, path_only=True).select("line")
+
+
+def markdown_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, links and code spans, with their place in bytes."""
+    return _notes(spark, d).select("path", F.inline(markdown_nodes("content"))).select("path", "type", "value", "url", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"))
+
+
+def heading_anchor_list(spark: SparkSession, d: str) -> DataFrame:
+    return _notes(spark, d).select("path", F.array_join(heading_anchors("content"), " ").alias("anchors"))
+
+
+def lint_frontmatter(spark: SparkSession, d: str) -> DataFrame:
+    return lint.frontmatter_findings(lint.with_policy(_cards(spark, d), parse(CARD_RULES))).select(*lint.COLUMNS)
+
+
+def _note_findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    files, rules = _notes(spark, d), parse(NOTE_RULES)
+    return files, lint.reference_findings(lint.with_policy(files, rules), files.select("path"), rules)
+
+
+def lint_references(spark: SparkSession, d: str) -> DataFrame:
+    return _note_findings(spark, d)[1].select(*lint.COLUMNS)
+
+
+def diagnostic_texts(spark: SparkSession, d: str) -> DataFrame:
+    return render.diagnostics(_note_findings(spark, d)[1], colour=True).select("text")
+
+
+def fix_files(spark: SparkSession, d: str) -> DataFrame:
+    return fix.rewrites(*_note_findings(spark, d))
 
 
 def fix_summary(spark: SparkSession, d: str) -> DataFrame:
-    return fix.summary(_line_and_field_findings(spark, d)).select("count", F.array_join("rules", ",").alias("rules"))
+    return fix.summary(_note_findings(spark, d)[1]).select("count", F.array_join("rules", ",").alias("rules"))
 
 
 def run_status(spark: SparkSession, d: str) -> DataFrame:
-    found = _line_and_field_findings(spark, d)
+    found = _note_findings(spark, d)[1]
     both = lint.status(found).withColumn("mode", F.lit("lint")).union(lint.status(found, fixing=True).withColumn("mode", F.lit("fix")))
     return both.select("mode", "errors", "warnings", "fixable", F.array_join("rules", ",").alias("rules"), "failed")
 
@@ -272,35 +400,19 @@ def lint_max_tokens(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*lint.COLUMNS, F.lit(counter.name).alias("vocabulary"))
 
 
-def frontmatter_parse(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _files(spark, d).select("path", frontmatter("content").alias("f"))
-    return parsed.select("path", "f.status", "f.malformed_line", F.transform("f.fields", lambda x: x["key"]).alias("keys"))
-
-
-def nodes_of_files(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d).select("path", F.inline(markdown_nodes("content")), F.size(heading_anchors("content")).alias("headings"))
-
-
-def _lint(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def lint_files(spark: SparkSession, d: str) -> DataFrame:
+    """All rules over documents as files, whose texts hold Markdown of any kind."""
     files = _files(spark, d)
     rules = parse(RULES + '\n[[rules]]\npath = "src3/"\nenable = ["prefer-links-for-local-paths"]\n')
-    return files, lint.findings(files, files.select("path"), rules)
-
-
-def lint_files(spark: SparkSession, d: str) -> DataFrame:
-    return _lint(spark, d)[1].select(*lint.COLUMNS)
-
-
-def fix_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    files, found = _lint(spark, d)
-    return fix.rewrites(files, found)
+    return lint.findings(files, files.select("path"), rules).select(*lint.COLUMNS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         corpus_documents, tokenize_explode, compound_expand, field_term_freq, field_lengths, doc_frequency, corpus_stats, idf_table, match_topk, match_explain, match_duplicate_terms, match_scoped, match_exclude, match_parts, match_pages,
-        match_batch, match_stemmed, list_described, lint_max_lines, lint_field_max_chars, lint_required_fields, rule_policy_fold, glob_self_vs_ancestor, page_links_classified, page_links_resolved, unresolved_links, anchor_slugs, fix_summary, run_status,
-        edit_overlap_check, lint_max_tokens, frontmatter_parse, lint_files, fix_rewrite,
+        match_batch, match_stemmed, match_parts_stemmed, match_rows, match_paths, stem_terms, list_described, list_rows, list_scopes, discover_filter, repository_documents, frontmatter_fields, markdown_outline, heading_anchor_list, lint_max_lines,
+        lint_frontmatter, lint_references, diagnostic_texts, rule_policy_fold, glob_self_vs_ancestor, page_links_classified, page_links_resolved, anchor_slugs, fix_summary, fix_files, run_status, edit_overlap_check, lint_max_tokens,
+        lint_files,
     )
-    return {f.__name__: f for f in found} | {"markdown_nodes": nodes_of_files}
+    return {f.__name__: f for f in found}
 

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from marginalia.functions.analyzer import analyze_text, highlight
-from marginalia.functions.text import shell_escape
+from marginalia.functions.text import row_field, shell_escape
+from marginalia.runtime import ship
 
 #: Colours of score bands.
 BANDS = {"high": "32", "medium": "33", "low": "31"}
@@ -17,26 +23,46 @@ def field(text: str | None) -> str:
     return (text or "").replace("\r", " ").replace("\n", " ").replace("|", "\\|")
 
 
-def row(path: str, name: str | None, description: str | None, query: str | None = None) -> str:
-    """path | name | description; with a query, its terms are marked."""
-    if query is None:
-        return " | ".join(map(field, (path, name, description)))
-    terms = set(analyze_text(query))
-    return " | ".join(highlight(x or "", terms) for x in (path, name, description))
+def row(path: str, name: str | None, description: str | None) -> str:
+    """path | name | description."""
+    return " | ".join(map(field, (path, name, description)))
 
 
 EXPLAIN_HEADER = "score | relative | coverage | path | name | description"
 
 
-def explain_row(score: float, relative: str, coverage: str, band: str, rest: str, colour: bool) -> str:
-    shown = f"{score:.2f}"
-    return " | ".join((f"\x1b[{BANDS[band]}m{shown}\x1b[0m" if colour else shown, relative, coverage, rest))
-
-
-def diagnostic(found, colour: bool = False) -> str:
-    """Two lines for a finding: where and what."""
-    severity = f"\x1b[{SEVERITIES[found.severity]}m{found.severity}\x1b[0m" if colour else found.severity
-    return f"{found.file}:{found.line}:{found.column}  {severity}  {found.rule}{'  fixable' if found.fixable else ''}\n{found.message}"
+@F.pandas_udf(T.StringType())
+def _marked(text: pd.Series, query: pd.Series) -> pd.Series:
+    terms = {q: set(analyze_text(q)) for q in query.unique()}
+    return pd.Series([highlight(x or "", terms[q]) for x, q in zip(text, query, strict=True)])
+
+
+def match_rows(found: DataFrame, query: str, colour: bool = False, explain: bool = False, path_only: bool = False) -> DataFrame:
+    """found (path, name, description; with explain also score, relative, coverage and band) and line, its row of output.
+
+    With colour the query's terms are marked in the row, and the score has its band's colour. A row that is
+    the path only is never marked.
+    """
+    fields = [F.coalesce(F.col(c), F.lit("")) for c in ("path", "name", "description")]
+    shown = [_marked(f, F.lit(query)) if colour else row_field(f) for f in fields]
+    line = F.col("path") if path_only else F.concat_ws(" | ", *shown)
+    if explain:
+        score = F.format_string("%.2f", "score")
+        band = F.element_at(F.create_map(*[F.lit(x) for pair in BANDS.items() for x in pair]), F.col("band"))
+        line = F.concat_ws(" | ", F.concat(F.lit("\x1b["), band, F.lit("m"), score, F.lit("\x1b[0m")) if colour else score, "relative", "coverage", line)
+    ship(found.sparkSession)
+    return found.withColumn("line", line)
+
+
+def diagnostics(found: DataFrame, colour: bool = False) -> DataFrame:
+    """findings with text: two lines for each, where and what."""
+    severity = F.col("severity")
+    if colour:
+        code = F.element_at(F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair]), severity)
+        severity = F.concat(F.lit("\x1b["), code, F.lit("m"), severity, F.lit("\x1b[0m"))
+    where = F.concat_ws(":", "file", F.col("line").cast("string"), F.col("column").cast("string"))
+    head = F.concat_ws("  ", where, severity, "rule", F.when(F.col("fixable"), F.lit("fixable")))
+    return found.withColumn("text", F.concat(head, F.lit("\n"), "message"))
 
 
 def fix_hint(count: int, rules: Iterable[str], targets: Iterable[str]) -> str | None:
