@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -45,6 +46,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
         self.split = regex.compile(pattern)
+        self.cuts = pattern == public_tokenizers.PATTERN  # whether single spaces start a match, as encode() may use
         self.token = {rank: token for token, rank in ranks.items()}
         self.text = {rank: str(rank) for rank in self.token}
         self.size = {rank: len(token) for token, rank in ranks.items()}
@@ -106,9 +108,12 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text, each match of the pattern on its own, no special tokens.
 
-        A single space between characters that aren't white space starts a match whatever stands
-        around it, so parts between such spaces are encoded, and remembered, on their own.
+        By the shipped pattern a single space between characters that aren't white space starts a match
+        whatever stands around it, so parts between such spaces are encoded, and remembered, on their own.
+        Texts that another pattern splits aren't cut.
         """
+        if not self.cuts:
+            return list(self.encode_part(text))
         first, *parts = text.split(" ")
         if not first or first[-1].isspace():
             return self.encode_runs(text)

@@ -125,7 +125,7 @@ class Model:
     def __init__(self, pieces: Pieces, langs: list[str], prob: np.ndarray):
         self.pieces, self.langs, self.prob = pieces, langs, prob
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((0, len(langs)))
+        self.rows = np.zeros((0, len(langs) + 1))
 
     def __getstate__(self) -> dict:
         return {"names": self.pieces.names, "langs": self.langs, "prob": self.prob}
@@ -162,7 +162,8 @@ class Model:
     def tokens(self, tokens: Iterable[str]) -> tuple[dict[str, int], np.ndarray]:
         """(numbers of the tokens that weren't known, rows): what each token adds to a text's score.
 
-        A token adds the sum over its words. Rows of tokens that are remembered come first.
+        A token adds the sum over its words for each language, and in the last column its letters. Rows of
+        tokens that are remembered come first.
         """
         new = [t for t in tokens if t not in self.memo]
         if not new:
@@ -172,22 +173,23 @@ class Model:
         value = self.log_words(list(words)) if words else np.zeros((0, len(self.langs)))
         flat = np.array([words[w] for p in split for w in p], dtype=np.int64)
         size = np.array([len(p) for p in split])
-        rows = np.zeros((len(new), len(self.langs)))
+        rows = np.zeros((len(new), len(self.langs) + 1))
         if len(flat):
-            rows[size > 0] = np.add.reduceat(value[flat], (np.cumsum(size) - size)[size > 0], axis=0)
+            rows[size > 0, :-1] = np.add.reduceat(value[flat], (np.cumsum(size) - size)[size > 0], axis=0)
+            rows[:, -1] = [sum(map(len, p)) for p in split]
         kept = min(len(new), max(0, MEMO - len(self.memo)))
         at = len(self.memo)
         if at + kept > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(kept, len(self.rows)), len(self.langs)))])
+            self.rows = np.concatenate([self.rows, np.zeros((max(kept, len(self.rows)), len(self.langs) + 1))])
         self.rows[at : at + kept] = rows[:kept]
         self.memo.update(zip(new[:kept], range(at, at + kept), strict=True))
         extra = dict(zip(new[kept:], range(len(self.rows), len(self.rows) + len(new) - kept), strict=True))
         return extra, np.concatenate([self.rows, rows[kept:]]) if extra else self.rows
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text; und and 0 for null, for no letters and for an empty model."""
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
+        """(language, score, log-likelihood for each letter) of each text; und, 0 and null for null, for no letters and for an empty model."""
         if not self.langs:
-            return [("und", 0.0)] * len(texts)
+            return [("und", 0.0, None)] * len(texts)
         split = []
         for text in texts:
             plain = (text or "").lower()
@@ -199,11 +201,11 @@ class Model:
         out = []
         for text, s in zip(texts, split, strict=True):
             if not s or not LETTERS.search(text):
-                out.append(("und", 0.0))
+                out.append(("und", 0.0, None))
                 continue
-            total = rows[np.fromiter(map(number, s), np.int64, len(s))].sum(axis=0)
-            best = int(total.argmax())
-            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+            *total, letters = rows[np.fromiter(map(number, s), np.int64, len(s))].sum(axis=0)
+            best = int(np.argmax(total))
+            out.append((self.langs[best], float(1 / np.exp(np.array(total) - total[best]).sum()), float(total[best] / letters)))
         return out
 
 
@@ -275,17 +277,23 @@ def train(docs: DataFrame, vocabulary_path: str, held_out: F.Column, docs_per_la
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; its other columns stay, columns of these names are replaced."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    """docs with lang_pred, score and per_letter; its other columns stay, columns of these names are replaced.
+
+    per_letter is the logarithm of the text's likelihood in the language predicted, for each letter: about
+    -3 for a text of that language, near that of unknown characters for one of none that was learned.
+    """
+    new = ("lang_pred", "score", "per_letter")
+    own = [c for c in docs.columns if c not in new]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = own.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*own, "lang_pred", "score"])
+            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*own, *new])
 
-    return map_arrow(docs.select(*own), run, docs.select(*own).schema.add("lang_pred", "string").add("score", "double"))
+    return map_arrow(docs.select(*own), run, docs.select(*own).schema.add("lang_pred", "string").add("score", "double").add("per_letter", "double"))
 
 
 def held_out() -> F.Column:
@@ -294,7 +302,7 @@ def held_out() -> F.Column:
 
 
 def detect(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 200) -> DataFrame:
-    """Train on docs (doc_id, text, lang), then docs with held_out, lang_pred and score.
+    """Train on docs (doc_id, text, lang), then docs with held_out, lang_pred, score and per_letter.
 
     A text that is null or has no letters (number characters are none) is und with score 0, as are all if
     no row has a language. Null ids and repeated rows are kept; ties go to the first language by name.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import pii
-
 LINES = r"""
 WITH lines AS (
   SELECT coalesce(doc_id, 9223372036854775807) AS key, d.rowid_ AS rid, doc_id, u.line, u.n
@@ -81,16 +79,23 @@ _PATTERNS = {
     ),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 9 AND 15", 0.5),
     "iban": (
-        pii.PATTERNS["iban"],
+        r"\b[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?\b",
         "length(replace(v, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_concat([0], list_transform(string_split(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ''), lambda c: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)),"
         " lambda r, x: (r * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1",
         0.8,
     ),
 }
+_CONTEXT = {
+    "email": "mail|e-mail|email|contact|write|correo|kontakt|courriel",
+    "ip": "ip|address|host|server|login",
+    "card": "card|visa|credit|payment|karte|tarjeta|carte",
+    "phone": "phone|tel|call|mobile|fax|telefon|teléfono|téléphone",
+    "iban": "iban|account|bank|konto|cuenta|compte",
+}
 
 
 def _found(n: int, kind: str, pattern: str, valid: str, score: float) -> str:
-    return f"""SELECT rid, {n} AS k, '{kind}' AS kind, s, s + length(v) AS e, CASE WHEN regexp_matches(lower(substr(text, greatest(s - {pii.REACH}, 0) + 1, least(s, {pii.REACH}))), '(^|[^a-z])({pii.CONTEXT[kind]})($|[^a-z])') THEN {score} + 0.2 ELSE {score} END AS score
+    return f"""SELECT rid, {n} AS k, '{kind}' AS kind, s, s + length(v) AS e, CASE WHEN regexp_matches(lower(substr(text, greatest(s - 40, 0) + 1, least(s, 40))), '(^|[^a-z])({_CONTEXT[kind]})($|[^a-z])') THEN {score} + 0.2 ELSE {score} END AS score
 FROM (SELECT rid, text, v, (sum(length(gap)) OVER before + coalesce(sum(length(v)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s FROM (
   SELECT rid, text, unnest(gaps) AS gap, unnest(hits) AS v, generate_subscripts(gaps, 1) AS i FROM (SELECT rid, text, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS hits FROM d))
   WINDOW before AS (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE v IS NOT NULL AND {valid}"""
@@ -100,7 +105,7 @@ PERSONAL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 found AS ({" UNION ALL ".join(_found(n, kind, *spec) for n, (kind, spec) in enumerate(_PATTERNS.items()))}),
 named AS (SELECT *, kind || ':' || s::BIGINT::VARCHAR || ':' || e::BIGINT::VARCHAR AS span FROM found)
-SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.BASE)},
+SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone"))},
   sha256(coalesce(string_agg(span, ',' ORDER BY k, s) FILTER (WHERE kind <> 'iban'), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY k, s), '') AS spans,
   count(*) FILTER (WHERE kind = 'iban') AS n_added, max(score)::DOUBLE AS best_score
 FROM d LEFT JOIN named USING (rid) GROUP BY rid

@@ -32,6 +32,8 @@ CONTEXT = {
     "iban": "iban|account|bank|konto|cuenta|compte",
 }
 REACH = 40
+#: Matches that are folded at once.
+GROUP = 500
 #: Scores: of a match without a checksum, of one with, and what a context word adds.
 PLAIN, CHECKED, NEARBY = 0.5, 0.8, 0.2
 
@@ -76,7 +78,10 @@ def valid(kind: str, value: F.Column) -> F.Column:
 
 
 def spans(kind: str, text: F.Column) -> F.Column:
-    """The kind's spans in a text: an array of (start, end, value), in code points, end exclusive."""
+    """The kind's spans in a text: an array of (start, end, value), in code points, end exclusive.
+
+    Pieces are folded in groups, and the groups in turn, so that what was found isn't copied for each match.
+    """
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     pieces = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("hit"))
 
@@ -87,7 +92,16 @@ def spans(kind: str, text: F.Column) -> F.Column:
         kept = F.when(piece["hit"].isNotNull() & valid(kind, piece["hit"]), F.concat(state["found"], F.array(span))).otherwise(state["found"])
         return F.struct(end.alias("at"), kept.alias("found"))
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda state: state["found"])
+    def whole(pieces: F.Column) -> F.Column:
+        def group(state: F.Column, n: F.Column) -> F.Column:
+            part = F.aggregate(F.slice(pieces, n * GROUP + 1, F.lit(GROUP)), F.struct(state["at"].alias("at"), empty.alias("found")), step)
+            # the part's struct is bound once, as the only element of an array
+            return F.element_at(F.transform(F.array(part), lambda x: F.struct(x["at"].alias("at"), F.concat(state["found"], F.array(x["found"])).alias("found"))), 1)
+
+        groups = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / GROUP).cast("int"))
+        return F.aggregate(groups, F.struct(F.lit(0).alias("at"), F.array(empty).alias("found")), group, lambda state: F.flatten(state["found"]))
+
+    found = F.element_at(F.transform(F.array(pieces), whole), 1)
     return F.when(text.rlike(NEEDS[kind]), found).otherwise(empty)
 
 
