@@ -66,6 +66,17 @@ def test_stages(spark, folder, tmp_path):
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, path).collect()) == want
 
 
+def test_language_stage_decides(spark):
+    """Clean documents stay, whatever their language; texts in none that was learned go; lang is what was predicted."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    alien = ["Всё что было, то прошло и быльём поросло", "これは日本語の文章です。これは日本語の文章です。", "qzxv wkjq zzqx vvkq xkcd qqqq"]
+    rows = spark.createDataFrame([(10**7 + i, t, None, "s", 1) for i, t in enumerate(alien)], SCHEMA)
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs.union(rows), "").collect()}
+    known = {r.doc_id: r.lang for r in docs.where("lang is not null").collect()}
+    assert known.keys() <= kept.keys() and sum(kept[i] == lang for i, lang in known.items()) >= 0.99 * len(known)
+    assert not kept.keys() & {10**7, 10**7 + 1, 10**7 + 2}
+
+
 def test_empty_table(spark, folder):
     path, _, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
