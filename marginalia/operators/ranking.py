@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.analyzer import analyze_text, explode_terms, stems_of
@@ -37,28 +37,55 @@ def query_terms(query: str, stemmed: bool = True) -> list[str]:
 
 @dataclass
 class Index:
-    """docs: the corpus. postings: path, term, n_name, n_description, n_path, f. lengths: path, len."""
+    """docs: the corpus. postings: path, term, n_name, n_description, n_path, f. lengths: path, len.
 
-    docs: DataFrame
+    A saved index also has the tables that frequencies() and stats() give.
+    """
+
+    docs: DataFrame | None
     postings: DataFrame
     lengths: DataFrame
     stemmed: bool
+    terms: DataFrame | None = None
+    figures: DataFrame | None = None
 
     def stats(self) -> DataFrame:
         """One row: n documents, and avgdl, their mean length (1 if there is nothing)."""
+        if self.figures is not None:
+            return self.figures
         n = self.docs.agg(F.count("*").alias("n"))
         total = self.lengths.agg(F.coalesce(F.sum("len"), F.lit(0)).cast("double").alias("total"))
         return n.join(total).select("n", "total", F.when((F.col("n") > 0) & (F.col("total") > 0), F.col("total") / F.col("n")).otherwise(1.0).alias("avgdl"))
 
     def frequencies(self) -> DataFrame:
         """(term, df): in how many documents a term stands, in whatever field."""
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        return self.terms if self.terms is not None else self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
     def persist(self) -> Index:
         self.postings.persist()
         self.lengths.persist()
         return self
 
+    def save(self, path: str) -> Index:
+        """Write the index below path, postings in the order of their terms, and give the one that reads it.
+
+        A query then reads the row groups of its terms only. A very frequent term lies in several files.
+        """
+        self.postings.repartitionByRange("term", "path").sortWithinPartitions("term", "path").write.parquet(f"{path}/postings")
+        read = self.postings.sparkSession.read
+        postings = read.parquet(f"{path}/postings")
+        postings.groupBy("path").agg(F.sum("f").alias("len")).write.parquet(f"{path}/lengths")
+        written = Index(self.docs, postings, read.parquet(f"{path}/lengths"), self.stemmed)
+        written.frequencies().write.parquet(f"{path}/terms")
+        written.stats().write.parquet(f"{path}/stats")
+        return load_index(self.postings.sparkSession, path, self.stemmed)
+
+
+def load_index(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
+    """An index that save() wrote."""
+    postings, lengths, terms, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "stats"))
+    return Index(None, postings, lengths, stemmed, terms, stats)
+
 
 def raw_terms(docs: DataFrame) -> DataFrame:
     """(path, field, raw): a row for each term of each field. Of the path its folder counts, less one ending .md."""
@@ -92,43 +119,49 @@ def first_field() -> Column:
     return F.when(F.col("n_name") > 0, 0).when(F.col("n_description") > 0, 1).otherwise(2)
 
 
-def score(index: Index, queries: DataFrame) -> DataFrame:
-    """(query, path, score, matched, first_field) of each document with a term; queries: (query, term, times).
+def weighed(index: Index, wanted: DataFrame | list[str]) -> DataFrame:
+    """(path, term, part, field) of each posting of the wanted terms: what the term adds to the document's score.
 
-    The queries' side is the small one: its distinct terms pick postings, which are all that moves.
-    Whether it is broadcast is left to its size at run time.
+    The terms' side is the small one: it picks postings, which are all that moves. Whether it is
+    broadcast is left to its size at run time; listed terms are a filter on the scan.
     """
-    wanted = queries.select("term").distinct()
-    hits = index.postings.join(wanted, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = hits.join(df, "term").join(index.lengths, "path").crossJoin(F.broadcast(index.stats()))
+    if isinstance(wanted, list):
+        hits, known = (t.where(F.col("term").isin(wanted)) for t in (index.postings, index.frequencies()))
+    else:
+        hits = index.postings.join(wanted, "term", "left_semi")
+        known = index.terms.join(wanted, "term", "left_semi") if index.terms is not None else hits.groupBy("term").agg(F.count("*").alias("df"))
+    rows = hits.join(known, "term").join(index.lengths, "path").crossJoin(F.broadcast(index.stats()))
     norm = 1 - B + B * F.col("len") / F.greatest(F.col("avgdl"), F.lit(LEAST))
     part = idf(F.col("n"), F.col("df")) * (K1 + 1) * F.col("f") / (F.col("f") + K1 * norm)
-    rated = weighed.select("path", "term", part.alias("part"), first_field().alias("field"))
+    return rows.select("path", "term", part.alias("part"), first_field().alias("field"))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """(query, path, score, matched, first_field) of rows (query, path, part, times, field)."""
     return (
-        rated.join(queries, "term")
-        .groupBy("query", "path")
+        rows.groupBy("query", "path")
         .agg(F.sum(F.col("part") * F.col("times")).alias("score"), F.sum("times").alias("matched"), F.min("field").alias("first_field"))
         .where("score > 0")
     )
 
 
+def score(index: Index, queries: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """(query, path, score, matched, first_field) of each document with a term; queries: (query, term, times), terms all its terms if known."""
+    return summed(weighed(index, terms if terms is not None else queries.select("term").distinct()).join(queries, "term"))
+
+
 def ordering() -> list[Column]:
     """Best first. Scores that differ only by the order of their sums, as those of copies do, are ties."""
     return [F.round("score", 9).desc(), F.desc("matched"), F.asc("first_field"), F.asc("path")]
 
 
-def query_table(index: Index, query: str) -> tuple[DataFrame, int]:
-    """The query's terms with how often they occur, and their number with repeats."""
-    terms = query_terms(query, index.stemmed)
-    rows = [(query, t, terms.count(t)) for t in sorted(set(terms))]
-    return index.docs.sparkSession.createDataFrame(rows, "query string, term string, times long"), len(terms)
-
-
 def match(index: Index, query: str, limit: int = LIMIT) -> DataFrame:
     """The limit best documents: path, score, matched, first_field, n_terms, in order."""
-    queries, n = query_table(index, query)
-    return score(index, queries).select("path", "score", "matched", "first_field", F.lit(n).cast("long").alias("n_terms")).orderBy(*ordering()).limit(limit)
+    terms = query_terms(query, index.stemmed)
+    rows = [(query, t, terms.count(t)) for t in sorted(set(terms))]
+    queries = index.postings.sparkSession.createDataFrame(rows, "query string, term string, times long")
+    found = score(index, queries, sorted(set(terms)))
+    return found.select("path", "score", "matched", "first_field", F.lit(len(terms)).cast("long").alias("n_terms")).orderBy(*ordering()).limit(limit)
 
 
 def explain(index: Index, query: str, limit: int = LIMIT) -> DataFrame:

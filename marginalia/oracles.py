@@ -201,6 +201,7 @@ ORACLES = {
     "corpus_stats": f"{index()} SELECT n, total::BIGINT AS total, round(avgdl, 6) AS avgdl FROM stats",
     "idf_table": f"{index()} SELECT term, df, round({IDF}, 6) AS idf FROM dfs, stats",
     "match_topk": top(QUERY),
+    "match_saved": top(QUERY),
     "match_explain": EXPLAIN,
     "match_duplicate_terms": top(REPEATED),
     "match_scoped": top(QUERY, where="path LIKE 'src1/%'"),

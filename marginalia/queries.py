@@ -15,7 +15,7 @@ from marginalia.functions.markdown import heading_anchors, markdown_nodes
 from marginalia.operators import fix, lint, listing, ranking
 from marginalia.operators import references as R
 from marginalia.plans.config import default, parse
-from marginalia.runtime import ship
+from marginalia.runtime import new_folder, ship
 from marginalia.sources import adapters
 from marginalia.sources import repository as repo
 from marginalia.sources.globs import compile_patterns, taken
@@ -113,6 +113,11 @@ def match_topk(spark: SparkSession, d: str) -> DataFrame:
     return _top(ranking.match(_index(spark, d), QUERY, 10))
 
 
+def match_saved(spark: SparkSession, d: str) -> DataFrame:
+    """As match_topk, by an index that is written and read again."""
+    return _top(ranking.match(_index(spark, d).save(new_folder(spark, "index")), QUERY, 10))
+
+
 def match_explain(spark: SparkSession, d: str) -> DataFrame:
     return ranking.explain(_index(spark, d), QUERY, 10).select("path", r6("score"), "relative", "coverage", "band")
 
@@ -409,7 +414,7 @@ def lint_files(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        corpus_documents, tokenize_explode, compound_expand, field_term_freq, field_lengths, doc_frequency, corpus_stats, idf_table, match_topk, match_explain, match_duplicate_terms, match_scoped, match_exclude, match_parts, match_pages,
+        corpus_documents, tokenize_explode, compound_expand, field_term_freq, field_lengths, doc_frequency, corpus_stats, idf_table, match_topk, match_saved, match_explain, match_duplicate_terms, match_scoped, match_exclude, match_parts, match_pages,
         match_batch, match_stemmed, match_parts_stemmed, match_rows, match_paths, stem_terms, list_described, list_rows, list_scopes, discover_filter, repository_documents, frontmatter_fields, markdown_outline, heading_anchor_list, lint_max_lines,
         lint_frontmatter, lint_references, diagnostic_texts, rule_policy_fold, glob_self_vs_ancestor, page_links_classified, page_links_resolved, anchor_slugs, fix_summary, fix_files, run_status, edit_overlap_check, lint_max_tokens,
         lint_files,
