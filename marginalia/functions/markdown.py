@@ -3,8 +3,8 @@
 It finds headings, inline links and code spans, with UTF-8 byte offsets, in document order. Links are
 not looked into; neither are images, code blocks, HTML and definitions. It knows fences, indented
 code, HTML blocks, quotes, lists, ATX and setext headings, tables, escapes, code spans, autolinks and
-images. Front matter is body text here: its lines and the closing hyphens are a setext heading.
-Not supported: footnote definitions with nested blocks, and lazy continuation across containers.
+images, and footnotes. Front matter is body text here: its lines and the closing hyphens are a setext
+heading, if they are one paragraph.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ _SETEXT = re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
 _RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 _QUOTE = re.compile(r" {0,3}> ?")
 _ITEM = re.compile(r" {0,3}(?:[-+*]|\d{1,9}[.)])(?:[ \t]+|$)")
-_DEFINITION = re.compile(r" {0,3}\[[^\]]+\]:[ \t]*\S")
+_FOOTNOTE = re.compile(r" {0,3}\[\^[^\]\s]+\]:[ \t]*")
+_DEFINITION = re.compile(r" {0,3}\[(?!\^)[^\]]+\]:[ \t]*\S")
 _HTML = re.compile(r" {0,3}<(?:!--|\?|![A-Za-z]|/?[A-Za-z][A-Za-z0-9-]*(?=[\s/>]|$))")
 _HTML_END = ((re.compile(r" {0,3}<!--"), "-->"), (re.compile(r" {0,3}<\?"), "?>"), (re.compile(r"(?i) {0,3}<(?:script|pre|style|textarea)\b"), re.compile(r"(?i)</(?:script|pre|style|textarea)>")))
 _TAG = re.compile(r"<(?:[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?|/[A-Za-z][A-Za-z0-9-]*\s*|!--.*?--|\?.*?\?)>", re.DOTALL)
@@ -181,8 +182,23 @@ def plain(text: str) -> str:
     return "".join(out)
 
 
+@dataclass
+class Place:
+    """Where a line's text lies: how many quotes it is in, its indent behind them, and whether an item begins; at is the text's start."""
+
+    quotes: int
+    indent: int
+    item: bool
+    at: int
+
+
 class Blocks:
-    """Splits a source into blocks of text and collects their nodes."""
+    """Splits a source into blocks of text and collects their nodes.
+
+    Containers are tracked by two numbers: the quote markers of a line, and the column at which the text of
+    the innermost list item or footnote stands. A paragraph goes on in a line that lacks its containers;
+    fences and HTML end with theirs.
+    """
 
     def __init__(self, source: str):
         self.source, self.nodes = source, []
@@ -192,36 +208,50 @@ class Blocks:
             self.lines.append((at, line.removesuffix("\r")))
             at += len(line) + 1
         self.open: list[tuple[int, str]] = []
+        self.depth = 0  # column of the item's text, 0 outside lists and footnotes
+        self.within = (0, 0)  # quotes and depth of the open paragraph
 
     def run(self) -> list[Node]:
-        fence, html, blank, in_list = "", None, True, False
+        fence: tuple[str, int, int] | None = None  # marker, quotes, depth
+        html: tuple[str | re.Pattern, int] | None = None  # what ends it, quotes
+        blank = True
         for offset, line in self.lines:
-            inner, at = self.unwrap(line)
-            text = line[at:]
             if fence:
-                if re.fullmatch(rf" {{0,3}}{fence[0]}{{{len(fence)},}}[ \t]*", text):
-                    fence = ""
-                continue
-            if html is not None:
-                if (html == "" and not text.strip()) or (isinstance(html, str) and html and html in text) or (isinstance(html, re.Pattern) and html.search(text)):
-                    html = None
-                continue
-            if not text.strip():
+                marker, quotes, depth = fence
+                have, indent, at = self.inside(line, quotes)
+                text = line[at + min(indent, depth) :]
+                if have == quotes and (indent >= depth or not text.strip()):
+                    if re.fullmatch(rf" {{0,3}}{marker[0]}{{{len(marker)},}}[ \t]*", text):
+                        fence = None
+                    continue
+                fence = None
+            place = self.unwrap(line, blank)
+            text = line[place.at :]
+            if html:
+                end, quotes = html
+                if place.quotes >= quotes:
+                    if (end == "" and not text.strip()) or (isinstance(end, str) and end and end in text) or (isinstance(end, re.Pattern) and end.search(text)):
+                        html = None
+                    continue
+                html = None
+            if not text.strip() and not place.item:
                 self.close()
                 blank = True
                 continue
-            in_list = in_list and (not blank or inner or text.startswith(" ")) or inner
+            lazy = bool(self.open) and not place.item and (place.quotes < self.within[0] or place.indent < self.within[1])
+            if self.open and (place.item or place.quotes > self.within[0]):
+                self.close()
             if m := _FENCE.match(text):
                 self.close()
-                fence = m[1]
-            elif not self.open and blank and not in_list and re.match(r" {4}|\t", text):
+                fence = m[1], place.quotes, self.depth
+            elif not self.open and re.match(r" {4}|\t", text):
                 pass  # indented code
             elif m := _ATX.match(text):
                 self.close()
                 title = re.sub(r"(?:^|[ \t]+)#+[ \t]*$", "", text[m.end() :]).strip()
                 begin = text.find(title, m.end()) if title else m.end()
-                self.block([(offset + at + begin, title)], True)
-            elif self.open and _SETEXT.fullmatch(text) and not inner:
+                self.block([(offset + place.at + begin, title)], True)
+            elif self.open and not lazy and _SETEXT.fullmatch(text):
                 self.close(heading=True)
             elif _RULE.fullmatch(text):
                 self.close()
@@ -230,28 +260,44 @@ class Blocks:
             elif not self.open and _HTML.match(text):
                 end = next((e for start, e in _HTML_END if start.match(text)), "")
                 done = end and (end in text if isinstance(end, str) else end.search(text))
-                html = None if done else end
-            else:
-                if inner:
-                    self.close()
+                html = None if done else (end, place.quotes)
+            elif text.strip():
+                if not self.open:
+                    self.within = place.quotes, self.depth
                 lead = len(text) - len(text.lstrip())
-                self.open.append((offset + at + lead, text.strip()))
+                self.open.append((offset + place.at + lead, text.strip()))
             blank = False
         self.close()
         return self.nodes
 
-    def unwrap(self, line: str) -> tuple[bool, int]:
-        """Whether a list item begins, and where the text behind quote and list markers does."""
-        at, item = 0, False
+    def inside(self, line: str, quotes: int) -> tuple[int, int, int]:
+        """(quote markers found, up to quotes; blanks behind them; where these begin)."""
+        at = have = 0
+        while have < quotes and (m := _QUOTE.match(line, at)):
+            at, have = m.end(), have + 1
+        rest = line[at:]
+        return have, len(rest) - len(rest.lstrip(" ")), at
+
+    def unwrap(self, line: str, blank: bool) -> Place:
+        """Where the text behind quote, list and footnote markers begins; depth follows. blank: after an empty line."""
+        quotes, indent, at = self.inside(line, len(line))
+        base, item = at, False
+        if line[at:].strip() and not indent and blank:
+            self.depth = 0
+        at += min(indent, self.depth)
         while True:
-            if m := _QUOTE.match(line, at):
-                at = m.end()
-            elif not _RULE.fullmatch(line[at:]) and (m := _ITEM.match(line, at)):
+            if m := _FOOTNOTE.match(line, at):
+                at, item = m.end(), True
+                self.depth = 4
+            elif not _RULE.fullmatch(line[at:]) and (m := _ITEM.match(line, at)) and (m[0].strip() or item):
                 at, item = m.end(), True
+                self.depth = at - base
                 if m := re.compile(r"\[[ xX]\] ").match(line, at):
                     at = m.end()
+            elif item and (m := _QUOTE.match(line, at)):
+                at, quotes = m.end(), quotes + 1
             else:
-                return item, at
+                return Place(quotes, indent, item, at)
 
     def close(self, heading: bool = False) -> None:
         if self.open:

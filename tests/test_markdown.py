@@ -32,6 +32,20 @@ def kinds(text):
         ("a [b\nc](d.md)", [("link", "b\nc", "d.md")]),
         ("- [ ] [a](b.md)", [("link", "a", "b.md")]),
         ("[a] (b.md)", []),
+        ("text[^1]\n\n[^1]: see [a](b.md)\n", [("link", "a", "b.md")]),
+        ("[^n]: note\n\n    more [a](b.md)\n\n    ```\n    [x](y.md)\n    ```\n\nend `z/`", [("link", "a", "b.md"), ("code", "z/", None)]),
+        ("> quoted [a\nb](c.md) on", [("link", "a\nb", "c.md")]),
+        ("> text\n---\nmore", []),
+        ("> text\n===\n", []),
+        ("- item\n---\n", []),
+        ("- item\n  ===\n", [("heading", "item", None)]),
+        ("> ```\n> [x](y.md)\nafter [a](b.md)", [("link", "a", "b.md")]),
+        ("- a\n\n  ```\n  [x](y.md)\n  ```\n  [c](d.md)", [("link", "c", "d.md")]),
+        ("- a\n\n      [x](y.md)\n\n  [c](d.md)", [("link", "c", "d.md")]),
+        ("- a\n    - b [c](d.md)\n\n      e `f/`", [("link", "c", "d.md"), ("code", "f/", None)]),
+        ("1. a\n\n   > [b](c.md)\n\nd\n\n    [x](y.md)", [("link", "b", "c.md")]),
+        ("> <div>\n> [x](y.md)\n\n[a](b.md)", [("link", "a", "b.md")]),
+        ("tags:\n  - a\n---\n", []),
     ],
 )
 def test_nodes(text, nodes):

@@ -73,3 +73,16 @@ def test_lines(spark, text, n):
 @pytest.mark.parametrize("path, out", [("a/./b", "a/b"), ("a/../b", "b"), ("../a", None), ("a/..", None), ("a//b/", "a/b"), ("", None), ("a/../../b", None)])
 def test_normalize(spark, path, out):
     assert spark.createDataFrame([(path,)], "p string").select(X.normalize(F.col("p"))).first()[0] == out
+
+
+def test_a_saved_index_gives_the_same(spark, tmp_path):
+    index = ranking.build_index(corpus(spark, A + B[:1]))
+    saved = index.save(str(tmp_path / "index"))
+    for query in ("zetasoup alpha", "alpha beta alpha", "nowhere"):
+        want, got = (sorted(map(tuple, ranking.match(i, query).collect())) for i in (index, saved))
+        assert got == want
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "zetasoup")], "query long, text string")
+    assert sorted(map(tuple, ranking.match_batch(saved, queries).collect())) == sorted(map(tuple, ranking.match_batch(index, queries).collect()))
+    again = ranking.load_index(spark, str(tmp_path / "index"))
+    plan = ranking.match(again, "zetasoup")._jdf.queryExecution().toString()
+    assert "In(term" in plan or "EqualTo(term" in plan
