@@ -220,6 +220,13 @@ SELECT path, itself, itself OR (path_prefix <> 'src1/de' AND (path LIKE 'src1/%'
     "edit_overlap_check": """SELECT * FROM (SELECT path, start, "end", lead(start) OVER (PARTITION BY path ORDER BY start, "end") AS next_start FROM (
   SELECT l_orderkey AS path, l_partkey % 1000 AS start, l_partkey % 1000 + l_quantity::BIGINT AS "end" FROM lineitem)) WHERE "end" > next_start""",
     "list_described": f"{WITH_DOCS} SELECT {ROW} AS row FROM docs WHERE description IS NOT NULL",
+    "lint_budgets": f"""{WITH_DOCS} SELECT path AS file, 1 AS line, 1 AS "column", CASE WHEN {RULE2} THEN 'error' ELSE 'warning' END AS severity, 'max-tokens' AS rule,
+  'File has ' || strlen(body)::VARCHAR || ' tokens, which exceeds configured max-tokens = ' || (CASE WHEN {RULE2} THEN 500 ELSE 2000 END)::VARCHAR || '.' AS message, false AS fixable
+FROM docs WHERE strlen(body) > CASE WHEN {RULE2} THEN 500 ELSE 2000 END AND NOT path LIKE 'src2/%'""",
+    "default_policy": f"""{WITH_DOCS}, named AS (SELECT path_prefix || '/' || CASE WHEN path LIKE '%0.md' THEN 'AGENTS.md' WHEN path LIKE '%1.md' THEN 'SKILL.md' WHEN path LIKE '%2.md' THEN 'README.md' WHEN path LIKE '%3.md' THEN 'CLAUDE.md' WHEN path LIKE '%4.md' THEN 'GEMINI.md'
+  ELSE split_part(path, '/', -1) END AS path FROM docs)
+SELECT path, CASE WHEN path LIKE '%/AGENTS.md' THEN 100 WHEN path LIKE '%/SKILL.md' THEN 500 END::BIGINT AS max_lines, CASE WHEN path LIKE '%/AGENTS.md' THEN 1000 WHEN path LIKE '%/SKILL.md' THEN 5000 END::BIGINT AS max_tokens,
+  CASE WHEN path LIKE '%/SKILL.md' THEN 'name,description' WHEN regexp_matches(path, '/(AGENTS|CLAUDE|GEMINI|README)\.md$') THEN '' ELSE 'description' END AS required, 1024::BIGINT AS description_chars FROM named""",
     "list_rows": f"WITH {CARD_DOCS} SELECT {ROW} AS row FROM docs WHERE description IS NOT NULL OR path IN ('Brand-2/part_99.md', 'Brand-8/part_5.md') UNION ALL SELECT {ROW} FROM docs WHERE description IS NOT NULL AND path_prefix = 'Brand-2'",
     "list_scopes": rf"""{WITH_DOCS}, moved AS (SELECT regexp_replace(replace(replace(path, '/en/', '/active/'), '/de/', '/completed/'), '/doc_(\d+)0\.md$', '/doc_\1/SKILL.md') AS path FROM docs)
 SELECT path, path LIKE 'src1/%' AND path LIKE '%/SKILL.md' AS skills, path LIKE 'src2/%' AS plans, path LIKE 'src2/active/%' AS active_plans, path LIKE 'src2/completed/%' AS completed_plans,
@@ -231,7 +238,7 @@ SELECT path, path LIKE 'src1/%' AND path LIKE '%/SKILL.md' AS skills, path LIKE
     "lint_frontmatter": CARD_FOUND,
     "markdown_outline": OUTLINE,
     "heading_anchor_list": f"WITH {NOTES} SELECT path, slug || ' size-' || p_size::VARCHAR || ' ' || slug || '-1' AS anchors FROM placed",
-    "lint_references": f"WITH {NOTE_FOUND} SELECT * FROM found",
+    "lint_references": f'WITH {NOTE_FOUND} SELECT * REPLACE ("column"::INT AS "column") FROM found',
     "diagnostic_texts": f"""WITH {NOTE_FOUND} SELECT file || ':' || line::VARCHAR || ':' || "column"::VARCHAR || '  ' || chr(27) || CASE severity WHEN 'error' THEN '[31m' ELSE '[33m' END || severity || chr(27) || '[0m  ' || rule
   || CASE WHEN fixable THEN '  fixable' ELSE '' END || chr(10) || message AS text FROM found""",
     "fix_files": FIXED,

@@ -392,6 +392,27 @@ def edit_overlap_check(spark: SparkSession, d: str) -> DataFrame:
     return fix.overlaps(items)
 
 
+def lint_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """The rule for token budgets, where a byte counts as a token."""
+    files = adapters.documents(spark, d).select("path", F.col("body").alias("content"))
+    rules = parse(
+        '[[rules]]\npath = "*.md"\nmax-tokens = 2000\nseverity = "warn"\n[[rules]]\npath = "src1/"\nexclude = ["src1/fr/"]\nmax-tokens = 500\n[[rules]]\npath = "src2"\ndisable = ["max-tokens"]\n'
+    )
+    return lint.token_findings(lint.with_policy(files, rules), F.octet_length).select(*lint.COLUMNS)
+
+
+def default_policy(spark: SparkSession, d: str) -> DataFrame:
+    """The built-in rules for documents, some of them under the names of guides."""
+    path, last = F.col("path"), F.regexp_extract("path", r"(.)\.md$", 1)
+    names = {"0": "AGENTS.md", "1": "SKILL.md", "2": "README.md", "3": "CLAUDE.md", "4": "GEMINI.md"}
+    named = text.base_name(path)
+    for digit, name in names.items():
+        named = F.when(last == digit, name).otherwise(named)
+    docs = adapters.documents(spark, d).select(F.concat_ws("/", text.path_prefix(path), named).alias("path"))
+    policy = docs.select("path", default().policy(path).alias("p"))
+    return policy.select("path", "p.max_lines", "p.max_tokens", F.array_join("p.required", ",").alias("required"), F.filter("p.field_max_chars", lambda x: x["field"] == "description")[0]["max_chars"].alias("description_chars"))
+
+
 def lint_max_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Token budgets by the vocabulary at hand, which stands in for the one that rule files are meant for."""
     import public_tokenizers
@@ -416,7 +437,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         corpus_documents, tokenize_explode, compound_expand, field_term_freq, field_lengths, doc_frequency, corpus_stats, idf_table, match_topk, match_saved, match_explain, match_duplicate_terms, match_scoped, match_exclude, match_parts, match_pages,
         match_batch, match_stemmed, match_parts_stemmed, match_rows, match_paths, stem_terms, list_described, list_rows, list_scopes, discover_filter, repository_documents, frontmatter_fields, markdown_outline, heading_anchor_list, lint_max_lines,
-        lint_frontmatter, lint_references, diagnostic_texts, rule_policy_fold, glob_self_vs_ancestor, page_links_classified, page_links_resolved, anchor_slugs, fix_summary, fix_files, run_status, edit_overlap_check, lint_max_tokens,
+        lint_frontmatter, lint_references, diagnostic_texts, rule_policy_fold, glob_self_vs_ancestor, page_links_classified, page_links_resolved, anchor_slugs, fix_summary, fix_files, run_status, edit_overlap_check, lint_budgets, default_policy, lint_max_tokens,
         lint_files,
     )
     return {f.__name__: f for f in found}
