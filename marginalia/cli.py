@@ -1,4 +1,4 @@
-"""Commands over a folder: match, list, lint and fix. Exit status 2 means violations or an error."""
+"""Commands over a folder: match, list, lint, fix and stats. Exit status 2 means violations or an error."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from marginalia.functions.tokens import O200K, TokenCounter, count_tokens
 from marginalia.operators import fix as fixing
 from marginalia.operators import lint as linting
 from marginalia.operators import listing, ranking
+from marginalia.operators import sizes as sizing
 from marginalia.plans.config import Config, load
 from marginalia.sources import repository as repo
 from marginalia.sources.globs import takes
@@ -46,10 +47,15 @@ def parser() -> argparse.ArgumentParser:
     scope = listed.add_mutually_exclusive_group()
     for name in ("skills", "plans", "active-plans", "completed-plans"):
         scope.add_argument(f"--{name}", dest="scope", action="store_const", const=name)
-    for name in ("lint", "fix"):
+    for name in ("lint", "fix", "stats"):
         sub = command(name)
         sub.add_argument("targets", nargs="*", default=["."])
-        sub.add_argument("--color", choices=("auto", "always", "never"), default="auto")
+        if name == "stats":
+            sub.add_argument("-R", "--recurse", action="store_true")
+            sub.add_argument("--min-lines", type=int)
+            sub.add_argument("--min-tokens", type=int)
+        else:
+            sub.add_argument("--color", choices=("auto", "always", "never"), default="auto")
         sub.add_argument("--vocabulary", help="file in the tiktoken format by which token budgets are checked")
         sub.add_argument("--pattern", default=O200K, help="pattern by which the vocabulary splits texts; that of o200k_base if not given")
     return out
@@ -83,7 +89,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None, cwd: s
     root = repo.infer_root(targets, args.config, cwd)
     config = load(root, args.config)
     respect = config.respect_gitignore and not args.no_gitignore
-    return {"match": _match, "list": _list, "lint": _lint, "fix": _lint}[args.command](args, spark, root, config, respect, targets, cwd, out)
+    return {"match": _match, "list": _list, "lint": _lint, "fix": _lint, "stats": _stats}[args.command](args, spark, root, config, respect, targets, cwd, out)
 
 
 def _match(args, spark, root, config, respect, targets, cwd, out) -> int:
@@ -131,6 +137,17 @@ def _lint(args, spark, root, config, respect, targets, cwd, out) -> int:
     return 2 if status.failed else 0
 
 
+def _stats(args, spark, root, config, respect, targets, cwd, out) -> int:
+    paths, _ = repo.discover(root, config, targets, args.recurse, respect)
+    counter = TokenCounter(args.vocabulary, args.pattern) if args.vocabulary else None
+    if args.min_tokens is not None and counter is None:
+        raise ValueError("--min-tokens needs --vocabulary")
+    found = sizing.sizes(repo.read_files(spark, root, paths), config, count_tokens(counter) if counter else None, args.min_lines, args.min_tokens)
+    for line in render.size_table(found.collect()):
+        out(line)
+    return 0
+
+
 def main() -> None:
     try:
         sys.exit(run())

@@ -12,7 +12,7 @@ from marginalia.functions import text
 from marginalia.functions.analyzer import explode_terms, stems_of
 from marginalia.functions.frontmatter import frontmatter
 from marginalia.functions.markdown import heading_anchors, markdown_nodes
-from marginalia.operators import fix, lint, listing, ranking
+from marginalia.operators import fix, lint, listing, ranking, sizes
 from marginalia.operators import references as R
 from marginalia.plans.config import default, parse
 from marginalia.runtime import new_folder, ship
@@ -401,6 +401,12 @@ def lint_budgets(spark: SparkSession, d: str) -> DataFrame:
     return lint.token_findings(lint.with_policy(files, rules), F.octet_length).select(*lint.COLUMNS)
 
 
+def file_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines and bytes of documents with many of either, beside the limits that apply."""
+    files = adapters.documents(spark, d).select("path", F.col("body").alias("content"))
+    return sizes.sizes(files, parse(RULES), F.octet_length, min_lines=5, min_tokens=3000).select("path", "lines", "max_lines", "tokens")
+
+
 def default_policy(spark: SparkSession, d: str) -> DataFrame:
     """The built-in rules for documents, some of them under the names of guides."""
     path, last = F.col("path"), F.regexp_extract("path", r"(.)\.md$", 1)
@@ -437,7 +443,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         corpus_documents, tokenize_explode, compound_expand, field_term_freq, field_lengths, doc_frequency, corpus_stats, idf_table, match_topk, match_saved, match_explain, match_duplicate_terms, match_scoped, match_exclude, match_parts, match_pages,
         match_batch, match_stemmed, match_parts_stemmed, match_rows, match_paths, stem_terms, list_described, list_rows, list_scopes, discover_filter, repository_documents, frontmatter_fields, markdown_outline, heading_anchor_list, lint_max_lines,
-        lint_frontmatter, lint_references, diagnostic_texts, rule_policy_fold, glob_self_vs_ancestor, page_links_classified, page_links_resolved, anchor_slugs, fix_summary, fix_files, run_status, edit_overlap_check, lint_budgets, default_policy, lint_max_tokens,
+        lint_frontmatter, lint_references, diagnostic_texts, rule_policy_fold, glob_self_vs_ancestor, page_links_classified, page_links_resolved, anchor_slugs, fix_summary, fix_files, run_status, edit_overlap_check, lint_budgets, file_sizes, default_policy, lint_max_tokens,
         lint_files,
     )
     return {f.__name__: f for f in found}

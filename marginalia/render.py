@@ -65,6 +65,14 @@ def diagnostics(found: DataFrame, colour: bool = False) -> DataFrame:
     return found.withColumn("text", F.concat(head, F.lit("\n"), "message"))
 
 
+def size_table(rows: list) -> list[str]:
+    """Sizes as a table, paths to the left and numbers to the right; columns without any number are left out."""
+    columns = ["path", *(c for c in ("lines", "max_lines", "tokens", "max_tokens") if c == "lines" or any(r[c] is not None for r in rows))]
+    table = [[c.replace("_", "-") for c in columns], *([str(r[c]) if r[c] is not None else "" for c in columns] for r in rows)]
+    width = [max(len(line[i]) for line in table) for i in range(len(columns))]
+    return ["  ".join([line[0].ljust(width[0]), *(x.rjust(w) for x, w in zip(line[1:], width[1:], strict=True))]).rstrip() for line in table]
+
+
 def fix_hint(count: int, rules: Iterable[str], targets: Iterable[str]) -> str | None:
     """What a fix would mend, and the command for it."""
     if not count:

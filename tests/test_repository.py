@@ -125,6 +125,18 @@ def test_lint_and_fix(spark, root):
     assert run(spark, root, "lint") == (0, [])
 
 
+def test_stats(spark, root):
+    (root / "docs/long.md").write_text("x\n" * 120)
+    code, lines = run(spark, root, "stats", "docs")
+    assert code == 0 and lines[0].split() == ["path", "lines"] and lines[1].split() == ["docs/beacons.md", "4"]
+    assert [x.split()[0] for x in run(spark, root, "stats", "-R", ".", "--min-lines", "100")[1]] == ["path", "docs/long.md"]
+    assert "docs/exec-plans/active/dredging.md" in " ".join(run(spark, root, "stats", "-R")[1])
+    (root / "marginalia.toml").write_text('[[rules]]\npath = "docs/"\nmax-lines = 100\n')
+    assert run(spark, root, "stats", "docs", "--min-lines", "100")[1] == ["path          lines  max-lines", "docs/long.md    120        100"]
+    with pytest.raises(ValueError):
+        run(spark, root, "stats", "--min-tokens", "5")
+
+
 def test_what_exists_is_looked_up_on_disk(spark, root):
     """Links, empty folders, ignored files and git's own files are targets; anchors come from files outside the targets too."""
     (root / "real").mkdir()
