@@ -224,7 +224,7 @@ SELECT path, itself, itself OR (path_prefix <> 'src1/de' AND (path LIKE 'src1/%'
   'File has ' || strlen(body)::VARCHAR || ' tokens, which exceeds configured max-tokens = ' || (CASE WHEN {RULE2} THEN 500 ELSE 2000 END)::VARCHAR || '.' AS message, false AS fixable
 FROM docs WHERE strlen(body) > CASE WHEN {RULE2} THEN 500 ELSE 2000 END AND NOT path LIKE 'src2/%'""",
     "file_sizes": f"{WITH_DOCS} SELECT path, {LINES} AS lines, ({MAX_LINES})::BIGINT AS max_lines, strlen(body)::BIGINT AS tokens FROM docs WHERE {LINES} >= 5 OR strlen(body) >= 3000",
-    "default_policy": f"""{WITH_DOCS}, named AS (SELECT path_prefix || '/' || CASE WHEN path LIKE '%0.md' THEN 'AGENTS.md' WHEN path LIKE '%1.md' THEN 'SKILL.md' WHEN path LIKE '%2.md' THEN 'README.md' WHEN path LIKE '%3.md' THEN 'CLAUDE.md' WHEN path LIKE '%4.md' THEN 'GEMINI.md'
+    "default_policy": rf"""{WITH_DOCS}, named AS (SELECT path_prefix || '/' || CASE WHEN path LIKE '%0.md' THEN 'AGENTS.md' WHEN path LIKE '%1.md' THEN 'SKILL.md' WHEN path LIKE '%2.md' THEN 'README.md' WHEN path LIKE '%3.md' THEN 'CLAUDE.md' WHEN path LIKE '%4.md' THEN 'GEMINI.md'
   ELSE split_part(path, '/', -1) END AS path FROM docs)
 SELECT path, CASE WHEN path LIKE '%/AGENTS.md' THEN 100 WHEN path LIKE '%/SKILL.md' THEN 500 END::BIGINT AS max_lines, CASE WHEN path LIKE '%/AGENTS.md' THEN 1000 WHEN path LIKE '%/SKILL.md' THEN 5000 END::BIGINT AS max_tokens,
   CASE WHEN path LIKE '%/SKILL.md' THEN 'name,description' WHEN regexp_matches(path, '/(AGENTS|CLAUDE|GEMINI|README)\.md$') THEN '' ELSE 'description' END AS required, 1024::BIGINT AS description_chars FROM named""",
