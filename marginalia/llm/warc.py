@@ -13,7 +13,6 @@ import base64
 import gzip
 import hashlib
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, SLICE_BYTES, join_hot, map_arrow, materialize, shared_dir
+from marginalia.runtime import new_folder
+
+from .common import NO_ID, SLICE_BYTES, join_hot, map_arrow, materialize
 
 #: Ends a record.
 END = "\r\n\r\n"
@@ -44,7 +45,7 @@ def base32(column: str) -> F.Column:
 
 
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """record and size: the WARC record of each row of pages (page_id, url, html), without its end, and its payload's bytes.
+    """One column, record: the WARC record of each row of pages (page_id, url, html), without its end.
 
     Of payloads with equal SHA-1 and at least min_bytes bytes, those of the least page_id are
     responses, the others revisit it; a null page_id sorts last.
@@ -72,7 +73,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
     whole = F.concat(head, line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", (size + len(HTTP)).cast("string")), F.lit("\r\n" + HTTP), F.col("html"))
     short = F.concat(head, line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", named("first")), F.lit("Content-Length: 0\r\n\r\n"))
-    return join_hot(page, first, "digest", "n").select(F.when(response, whole).otherwise(short).alias("record"), F.when(response, size).otherwise(0).alias("size"))
+    return join_hot(page, first, "digest", "n").select(F.when(response, whole).otherwise(short).alias("record"))
 
 
 def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> str:
@@ -80,15 +81,14 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> str:
 
     Spark's committer writes them, so a task that is lost and run again leaves no second copy.
     """
-    path = path or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = path or new_folder(pages.sparkSession, "warc")
     size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
     largest = pages.agg(F.max(size)).first()[0] or 0
-    found = records(pages, min_bytes)
     least = -1
     for most, count in CLASSES:
-        if least < largest or least < 0:
-            part = found if largest <= most and least < 0 else found.where((F.col("size") > least) & (F.col("size") <= most))
-            part.select("record").write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", count).text(path)
+        if least < largest:  # equal payloads are of one size, so a class is complete in itself
+            part = pages if least < 0 and largest <= most else pages.where((size > least) & (size <= most))
+            records(part, min_bytes).write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", count).text(path)
         least = most
     return path
 
