@@ -166,8 +166,17 @@ def images(docs: DataFrame, form: str = "pgm") -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")), run, "doc_id long, n_bytes long, media binary, tile binary, feature string", 256)
 
 
-def digests(docs: DataFrame, form: str = "pgm") -> DataFrame:
-    """As images(), with digests of the stored form and of what it decodes to in place of the bytes."""
+def write_tiles(docs: DataFrame, path: str, form: str = "pgm") -> None:
+    """Write the tiles of images() as Parquet below path: doc_id, tile (an NPY file's bytes) and feature."""
+    images(docs, form).select("doc_id", "tile", "feature").write.parquet(path)
+
+
+def digests(docs: DataFrame, form: str = "pgm", other: str = "bmp") -> DataFrame:
+    """As images(), with digests of the stored form and of what it decodes to in place of the bytes.
+
+    The image is stored in another form too; other_sha256 is that form's digest, and same says whether it
+    decodes to the same samples.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,9 +185,12 @@ def digests(docs: DataFrame, form: str = "pgm") -> DataFrame:
                 media = store(text, form)
                 image = decode(media)
                 back = image.tobytes()
-                rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), hashlib.sha256(npy_tile(image)).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"])
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
+                second = store(text, other)
+                digest = [hashlib.sha256(x).hexdigest() for x in (back, media, npy_tile(image), second)]
+                same = np.array_equal(decode(second), image)
+                rows.append((len(text), len(back), digest[0], zlib.crc32(back[-32:]), len(media), digest[1], difference_hash(image), digest[2], digest[3], same))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], [c.split()[0] for c in schema.split(", ")])
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string, other_sha256 string, same boolean"
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")), run, schema, 256)
