@@ -15,6 +15,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -24,14 +25,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, only
 
-#: Pieces, and pieces between single spaces, that a worker remembers; longer ones than MEMO_BYTES it doesn't.
-MEMO, MEMO_BYTES = 600_000, 64
+#: The ids of a part of a text, these joined by commas, and the bytes that they decode to.
+Unit = tuple[tuple[int, ...], str, bytes]
+IDS, JOINED, DECODED = map(itemgetter, range(3))
+#: Pieces, and parts between single spaces, that a worker remembers; longer ones than MEMO_BYTES it doesn't.
+MEMO, MEMO_BYTES = 300_000, 64
 #: A single space that starts a match of the pattern.
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
-#: Pairs of tokens that a worker remembers.
-PAIRS = 1_000_000
+#: Pairs of tokens, and prefixes of pieces with their last tokens, that a worker remembers.
+PAIRS, PREFIXES = 500_000, 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,9 +62,13 @@ class Codec:
         for token, rank in ranks.items():
             # a token that its own bytes don't merge to never ends a prefix
             self.begins[token] = rank if self.merge(token) == [rank] else self.begins.get(token, -1)
+        self.forget()
+
+    def forget(self) -> None:
         self.pairs: dict[int, bool] = {}
+        self.prefixes: dict[bytes, int] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.spaced: dict[str, tuple[int, ...] | None] = {}
+        self.spaced: dict[str, Unit] = {}
 
     def __reduce__(self) -> tuple:
         return Codec, (self.ranks, self.pattern)
@@ -88,56 +96,99 @@ class Codec:
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        return Prefixes(self, piece).ids()
+        """The ids of a piece. The last tokens of its prefixes are remembered, as words share their beginnings."""
+        n = len(piece)
+        if n > MEMO_BYTES:
+            return Prefixes(self, piece).ids()
+        prefixes, begins, pairs = self.prefixes, self.begins.get, self.pairs.get
+        last = [-1]
+        for j in range(1, n + 1):
+            token = prefixes.get(piece[:j])
+            if token is None:
+                break
+            last.append(token)
+        room = len(prefixes) < PREFIXES
+        for j in range(len(last), n + 1):
+            for i in range(j - 1, -1, -1):
+                token = begins(piece[i:j])
+                if token is not None and token >= 0:
+                    if not i:
+                        break
+                    fits = pairs(last[i] << 20 | token)
+                    if fits is None:
+                        fits = self.may_follow(last[i], token)
+                    if fits:
+                        break
+            last.append(token)
+            if room:
+                prefixes[piece[:j]] = token
+        out, size = [], self.size
+        while n:
+            out.append(last[n])
+            n -= size[last[n]]
+        out.reverse()
+        return out
 
     def encode_part(self, part: str) -> tuple[int, ...]:
         """The ids of a part of a text that no match of the pattern crosses the ends of."""
         out: list[int] = []
         matches = self.split.findall(part)
-        if len(matches) == 1 and (ids := self.pieces.get(part)) is not None:
-            return ids
         for piece in matches:
             ids = self.pieces.get(piece)
             if ids is None:
                 ids = tuple(self.encode_piece(piece.encode()))
-                if len(piece) <= MEMO_BYTES and len(self.pieces) < MEMO:
+                if len(matches) > 1 and len(piece) <= MEMO_BYTES and len(self.pieces) < MEMO:
                     self.pieces[piece] = ids
             out += ids
         return tuple(out)
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a whole text, each match of the pattern on its own, no special tokens.
+    def unit(self, part: str) -> Unit:
+        ids = self.encode_part(part)
+        return ids, ",".join(map(self.text.__getitem__, ids)), self.decode(ids)
+
+    def spaced_unit(self, part: str) -> Unit:
+        """The unit of a space and what follows it, which is remembered."""
+        found = self.spaced.get(part)
+        if found is None:
+            found = self.unit(" " + part)
+            if len(part) <= MEMO_BYTES and len(self.spaced) < MEMO:
+                self.spaced[part] = found
+        return found
+
+    def units(self, text: str) -> list[Unit]:
+        """A text in parts, each with its ids, these as text, and what they decode to.
 
         By the shipped pattern a single space between characters that aren't white space starts a match
         whatever stands around it, so parts between such spaces are encoded, and remembered, on their own.
         Texts that another pattern splits aren't cut.
         """
+        if not text:
+            return []
         if not self.cuts:
-            return list(self.encode_part(text))
+            return [self.unit(text)]
         first, *parts = text.split(" ")
         if not first or first[-1].isspace():
-            return self.encode_runs(text)
-        out = list(self.encode_part(first))
-        get, spaced = self.spaced.get, self.spaced
+            return self.units_between(text)
+        out = [self.unit(first)]
+        get = self.spaced.get
         for part in parts:
-            ids = get(part)
-            if ids is None:
+            found = get(part)
+            if found is None:
                 if not part or part[0].isspace() or part[-1].isspace():
-                    return self.encode_runs(text)
-                ids = self.encode_part(" " + part)
-                if len(part) <= MEMO_BYTES and len(spaced) < MEMO:
-                    spaced[part] = ids
-            out += ids
+                    return self.units_between(text)
+                found = self.spaced_unit(part)
+            out.append(found)
         return out
 
-    def encode_runs(self, text: str) -> list[int]:
+    def units_between(self, text: str) -> list[Unit]:
         """The same where white space comes in runs: cut only at single spaces between other characters."""
-        out: list[int] = []
-        at = 0
-        for space in SINGLE.finditer(text):
-            out += self.encode_part(text[at : space.start()])
-            at = space.start()
-        return out + list(self.encode_part(text[at:]))
+        cuts = [0, *(space.start() for space in SINGLE.finditer(text)), len(text)]
+        first, *parts = (text[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+        return [self.unit(first), *(self.spaced_unit(p[1:]) for p in parts)]
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a whole text, each match of the pattern on its own, no special tokens."""
+        return [i for ids, _, _ in self.units(text) for i in ids]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -212,7 +263,7 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str, pattern: str) -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [codec.value.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = [only(codec.value).encode(t or "") for t in batch.column(1).to_pylist()]
             decoded = [codec.value.decode(i) for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
@@ -228,17 +279,18 @@ def digests(docs: DataFrame, vocabulary_path: str, pattern: str, with_ids: bool
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = codec.value.text.__getitem__
         for batch in batches:
+            units_of = only(codec.value).units
             of_ids, of_bytes, sizes = [], [], [0]
             whole = array("i")
             for t in batch.column(1).to_pylist():
-                ids = codec.value.encode(t or "")
-                sizes.append(sizes[-1] + len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(text, ids)).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(codec.value.decode(ids)).hexdigest())
+                units = units_of(t or "")
+                sizes.append(sizes[-1] + sum(map(len, map(IDS, units))))
+                of_ids.append(hashlib.sha256(",".join(map(JOINED, units)).encode()).hexdigest())
+                of_bytes.append(hashlib.sha256(b"".join(map(DECODED, units))).hexdigest())
                 if with_ids:
-                    whole.extend(ids)
+                    for ids in map(IDS, units):
+                        whole.extend(ids)
             size = pa.array([b - a for a, b in zip(sizes, sizes[1:], strict=False)], pa.int64())
             ids = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(whole, np.int32), pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), *ids], names)

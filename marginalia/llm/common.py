@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.runtime import ship, spread
+from marginalia.runtime import materialize, ship, spread
 
 #: Sorts after every real id; stands for a null id while rows are grouped or joined.
 NO_ID = (1 << 63) - 1
@@ -20,32 +18,6 @@ SLICE_BYTES = 8 << 20
 HOT_KEYS, HOT_ROWS = 20_000, 1_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for working tables: spark.checkpoint.dir, which all executors share.
-
-    Where it is unset, a session in one process gets a temporary folder, any other the warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    own = spark.sparkContext.getCheckpointDir()
-    if own:
-        return own
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        path = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-    else:
-        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_marginalia"
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a working table in the shared folder and read it again, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, dealt to all cores if it has fewer splits than there are."""
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
@@ -74,6 +46,20 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     return df.mapInArrow(lambda batches: fn(sliced(batches, rows)), schema)
 
 
+_remembering: object = None
+
+
+def only(memory):
+    """memory, which becomes the one that this worker keeps: what another operator's model remembered is forgotten."""
+    global _remembering
+    if _remembering is not memory:
+        if _remembering is not None:
+            _remembering.forget()
+            pa.default_memory_pool().release_unused()
+        _remembering = memory
+    return memory
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: str | list[str], count: str) -> DataFrame:
     """Inner join of left with right, which has one row for each value of on, without hot tasks.
 
@@ -83,12 +69,12 @@ def join_hot(left: DataFrame, right: DataFrame, on: str | list[str], count: str)
     twice, so they should be working tables or cheap scans.
     """
     on = [on] if isinstance(on, str) else on
-    total = right.agg(F.sum(count)).first()[0] or 0
-    limit = max(HOT_ROWS, total // HOT_KEYS)
+    total, most = right.agg(F.sum(count), F.max(count)).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return left.join(right.drop(count), on)
     fields = [c for c in right.columns if c not in (*on, count)]
     hot = right.where(F.col(count) > limit).select(*on, F.struct(*fields).alias("_hot"))
-    if hot.isEmpty():
-        return left.join(right.drop(count), on)
     marked = left.join(F.broadcast(hot), on, "left")
     own = [c for c in left.columns if c not in on]
     met = marked.where("_hot is not null").select(*on, *own, *(F.col(f"_hot.{f}").alias(f) for f in fields))

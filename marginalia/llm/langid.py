@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of, map_arrow, unit_hash
+from .common import crc_of, map_arrow, only, unit_hash
 
 #: A word: a letter, and letters and combining marks after it. Digits and other number characters are none.
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -32,7 +32,7 @@ SHORT = 32
 #: Least probability of a piece, and that of a character that no piece covers.
 FLOOR, UNKNOWN = 1e-7, 1e-8
 #: Tokens that a worker remembers; the first ones stay, as frequent tokens come early.
-MEMO = 400_000
+MEMO = 300_000
 #: Becomes blank before texts are cut into tokens, so that a word with and without it is one token.
 MARKS = ".,;:!?()\"[]"
 
@@ -124,8 +124,11 @@ class Model:
 
     def __init__(self, pieces: Pieces, langs: list[str], prob: np.ndarray):
         self.pieces, self.langs, self.prob = pieces, langs, prob
+        self.forget()
+
+    def forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((0, len(langs) + 1))
+        self.rows = np.zeros((0, len(self.langs) + 1))
 
     def __getstate__(self) -> dict:
         return {"names": self.pieces.names, "langs": self.langs, "prob": self.prob}
@@ -289,7 +292,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.predict(batch.column(at).to_pylist())
+            found = only(shared.value).predict(batch.column(at).to_pylist())
             columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*own, *new])
 
