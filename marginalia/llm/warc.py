@@ -3,8 +3,12 @@
 A reader can't trust the record magic: a payload may hold it. So every place where a record could
 start gives a candidate: its offset, and from its Content-Length the offset of its successor.
 Pointer jumping from the file's start then keeps the candidates that the chain reaches, in
-logarithmically many steps; the others are payload. An archive is a task's unit, so the writer bounds
-archives by bytes, but for records that are larger on their own.
+logarithmically many steps; the others are payload.
+
+read() takes an archive as a task's unit, so the writer bounds archives by bytes, but for records that are
+larger on their own. read_split() reads plain archives of any size in splits: tasks emit the candidates of
+their splits, pointer jumping goes over a table of all of them, and records are put together from the
+pieces that lie in the splits.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.runtime import new_folder
@@ -125,13 +129,18 @@ def chain(offset: np.ndarray, successor: np.ndarray, end: int) -> np.ndarray:
     return kept
 
 
+def fields_of(record: bytes) -> tuple[dict[str, str], bytes]:
+    """(header fields in lower case, block) of a record without its end."""
+    head, _, block = record.partition(END.encode())
+    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, block
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields in lower case, block) of each record of an archive."""
-    offset, body, successor = candidates(data)
+    offset, _, successor = candidates(data)
     for i in np.flatnonzero(chain(offset, successor, len(data))):
-        lines = data[offset[i] : body[i] - 4].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        yield fields, data[body[i] : successor[i] - 4]
+        yield fields_of(data[offset[i] : successor[i] - len(END)])
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -165,6 +174,127 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     return map_arrow(files, run, "kind string, id string, url string, refers_to string, digest string, payload_bytes long, payload binary", 1)
 
 
+def units(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, block, at, unit) of plain archives: what stands between two ends of records, and where in its split.
+
+    Spark's text reader deals a file to splits at these ends. size is the file's, block is where a split
+    begins; at counts from the split's first unit.
+    """
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, at = None, 0
+        for batch in batches:
+            places = []
+            for file, block, unit in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if (file, block) != current:
+                    current, at = (file, block), 0
+                places.append(at)
+                at += len(unit) + len(END)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.int64()), batch.column(3)], ["file", "size", "block", "at", "unit"])
+
+    lines = spark.read.option("lineSep", END).text(path)
+    named = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("unit"))
+    return map_arrow(named, place, "file string, size long, block long, at long, unit binary")
+
+
+def split_candidates(found: DataFrame) -> DataFrame:
+    """(file, offset, successor, block, at) of each place where a record could begin, with offsets in the file.
+
+    A payload that ends with a line break leaves one before the next record, as the reader takes the first end there is.
+    """
+    text = F.col("unit").cast("string")
+    length = F.regexp_extract(F.concat(text, F.lit("\r\n")), r"(?i)\r\nContent-Length:[ \t]*(\d+)[ \t]*\r\n", 1)
+    lead = F.when(F.startswith(text, F.lit("\r\n")), 2).otherwise(0)
+    size = F.octet_length("unit") + len(END)
+    blocks = found.groupBy("file", "block").agg(F.max(F.col("at") + size).alias("total"))
+    before = F.sum("total").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = materialize(blocks.select("file", "block", F.coalesce(before, F.lit(0)).alias("base")), "blocks")
+    heads = found.where(text.rlike(r"\A(?:\r\n)?WARC/1\.[01]\r\n") & (length != ""))
+    heads = heads.select("file", "block", (F.col("at") + lead).alias("at"), (F.col("at") + size + length.cast("long") + len(END)).alias("next"))
+    return heads.join(blocks, ["file", "block"]).select("file", (F.col("base") + F.col("at")).alias("offset"), (F.col("base") + F.col("next")).alias("successor"), "block", "at")
+
+
+def jump(candidates: DataFrame) -> DataFrame:
+    """The candidates (file, offset, successor, and others) that the chains from the files' starts reach.
+
+    Each round doubles the reach: what is reached marks what its jumps lead to, and jumps are joined to jumps.
+    """
+    keep = [c for c in candidates.columns if c not in ("file", "offset")]
+    nodes = materialize(candidates.select("*", F.col("successor").alias("to"), (F.col("offset") == 0).alias("reached")), "jumps")
+    count = None
+    while True:
+        marks = nodes.where("reached").select("file", F.col("to").alias("offset")).distinct().withColumn("mark", F.lit(True))
+        far = nodes.select("file", F.col("offset").alias("to"), F.col("to").alias("far"))
+        longer = nodes.join(far, ["file", "to"], "left").join(marks, ["file", "offset"], "left")
+        nodes = materialize(longer.select("file", "offset", *keep, F.coalesce("far", "to").alias("to"), (F.col("reached") | F.coalesce("mark", F.lit(False))).alias("reached"), F.col("far").isNotNull().alias("moved")), "jumps")
+        now = tuple(nodes.agg(F.count_if("reached"), F.count_if("moved")).first())
+        if now == count or not now[1]:
+            break
+        count = now
+    marks = nodes.where("reached").select("file", F.col("to").alias("offset")).distinct()
+    last = nodes.join(marks, ["file", "offset"], "left_semi").select("file", "offset", *keep)
+    return nodes.where("reached").select("file", "offset", *keep).union(last).distinct()
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, bytes) of the records of plain archives, which may be large; fields_of() takes bytes apart.
+
+    Raises an error where a file's chain doesn't reach its end. Payloads that hold record heads are no records.
+    A record lies in one row; nothing else is held as a whole.
+    """
+    found = materialize(units(spark, path), "units")
+    kept = materialize(jump(split_candidates(found)), "chain")
+    ends = found.groupBy("file").agg(F.max("size").alias("end")).join(kept.groupBy("file").agg(F.max("successor").alias("successor")), "file", "left")
+    broken = ends.where("successor is null or end != successor").select("file").first()
+    if broken:
+        raise ValueError(f"the chain of records breaks off before the end of {broken.file}")
+    # what goes on from an earlier split belongs to the last record that begins before this one
+    record, none = F.struct("offset", "successor"), F.lit(None).cast("struct<offset:long,successor:long>")
+    blocks = found.select("file", "block").distinct().join(kept.groupBy("file", "block").agg(F.max(record).alias("last")), ["file", "block"], "left")
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    opening = blocks.select("file", "block", F.lit(-1).cast("long").alias("at"), before.alias("record"), F.lit(None).cast("binary").alias("unit"))
+    starting = kept.select("file", "block", "at", record.alias("record"), F.lit(None).cast("binary").alias("unit"))
+    rows = opening.union(starting).union(found.select("file", "block", "at", none.alias("record"), "unit"))
+    rows = rows.select("file", "block", "at", F.col("record.offset").alias("offset"), F.col("record.successor").alias("successor"), "unit")
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["file", "offset", "successor", "block", "at", "piece"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        current: tuple = ()
+        begun = end = 0
+        held: list[bytes] = []
+
+        def out() -> pa.RecordBatch:
+            file, block, *record = current
+            values = (file, *record, block, begun, b"".join(held))
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds, strict=True)], names)
+
+        for batch in batches:
+            for file, block, at, offset, successor, unit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if unit is not None:
+                    if not held:
+                        begun = at
+                    held += unit, END.encode()
+                    end = at + len(unit) + len(END)
+                    continue
+                # a record begins, or a split with what belongs to an earlier one
+                rest = b""
+                if held and 0 <= at < end and current[:2] == (file, block):
+                    whole = b"".join(held)
+                    held, rest = [whole[: at - end]], whole[at - end :]
+                if any(held):
+                    yield out()
+                current, held, begun = (file, block, offset, successor), [rest] if rest else [], at
+        if any(held):
+            yield out()
+
+    dealt = rows.repartition("file", "block").sortWithinPartitions("file", "block", "at", F.col("unit").isNotNull())
+    pieces = map_arrow(dealt, gather, "file string, offset long, successor long, block long, at long, piece binary")
+    whole = pieces.groupBy("file", "offset", "successor").agg(F.array_sort(F.collect_list(F.struct("block", "at", "piece"))).alias("pieces"))
+    joined = F.aggregate(F.slice("pieces", F.lit(2), F.size("pieces")), F.col("pieces")[0]["piece"], lambda have, p: F.concat(have, p["piece"]))
+    size = (F.col("successor") - F.col("offset") - len(END)).cast("int")
+    return whole.select("file", "offset", F.substring(joined, F.lit(1), size).alias("bytes"))
+
+
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write archives of pages and read them: page_id, payload_bytes, payload_digest, record_type, refers_to.
 

@@ -127,7 +127,10 @@ def test_batches_are_bounded_in_each_plan(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
-def test_connect_long_chain(spark):
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_connect_long_chain(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "u long, v long")
     assert {r.u: r.root for r in simhash.connect(edges).collect()} == {**{i: 1 for i in range(2, 61)}, 101: 100}
     assert simhash.connect(edges.limit(0)).collect() == []
@@ -150,6 +153,12 @@ def test_bpe_equals_the_library(codec):
         ids = codec.encode(text)
         assert ids == plain.encode_ordinary(text) and codec.decode(ids) == text.encode()
     assert codec.encode("a" * 5000) == plain.encode_ordinary("a" * 5000)
+    for _ in range(300):  # prefixes that are known and ones that aren't
+        piece = "".join(rng.choices(["the", "ing", "é", "aa", "z", "語"], k=rng.randrange(1, 12)))
+        assert codec.encode_piece(piece.encode()) == bpe.Prefixes(codec, piece.encode()).ids()
+    other = bpe.Codec(codec.ranks, r"\S+|\s+")
+    text = "two  words and more\n of them"
+    assert other.encode(text) == [i for m in __import__("regex").findall(r"\S+|\s+", text) for i in codec.encode_piece(m.encode())]
 
 
 def test_bpe_appends_and_edits(codec):
@@ -192,6 +201,11 @@ def test_line_dedup(spark):
 def test_line_dedup_without_ids(spark):
     got = {(r.doc_id, bytes(r.kept)) for r in linededup.dedup_lines(documents(spark, [(None, "one and the same line"), (4, "one and the same line"), (None, "a line of its own here")])).collect()}
     assert got == {(None, b""), (4, b"one and the same line"), (None, b"a line of its own here")}
+    rows = [(None, "shared line of both\nown line number one"), (None, "shared line of both\nown line number two"), (None, "twice the same text"), (None, "twice the same text"), (4, "one line here\nand own line number two")]
+    found = linededup.dedup_lines(documents(spark, rows)).collect()
+    assert sum(r.n_dropped for r in found) == 0 and sum(r.n_lines for r in found) == 8  # rows without an id are one document
+    found = linededup.dedup_lines(documents(spark, [*rows, (5, "own line number two")])).collect()
+    assert [r.doc_id for r in found if r.n_dropped] == [None]
 
 
 def test_bloom_never_misses(spark):
@@ -271,14 +285,17 @@ def test_area_resize_is_the_mean():
 
 
 @pytest.mark.parametrize("form", ["pgm", "bmp"])
-def test_media_table(spark, rows, form):
-    got = {r.doc_id: r for r in media.digests(documents(spark, rows), form).collect()}
+def test_media_table(spark, rows, form, tmp_path):
+    got = {r.doc_id: r for r in media.digests(documents(spark, rows), form, "bmp" if form == "pgm" else "pgm").collect()}
     for i, t in rows:
         data = (t or "").encode()
         padded = data.ljust(max(1, -(-len(data) // 576)) * 576, b"\xff")
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), brute.sha(padded), __import__("zlib").crc32(padded[-32:]))
+        assert r.same and r.other_sha256 != r.media_sha256
+    media.write_tiles(documents(spark, rows[:2]), str(tmp_path / "tiles"), form)
     one = media.images(documents(spark, rows[:2]), form).first()
+    assert {bytes(r.tile) for r in spark.read.parquet(str(tmp_path / "tiles")).collect()} >= {bytes(one.tile)}
     assert np.load(__import__("io").BytesIO(one.tile)).shape == (16, 16) and media.decode(bytes(one.media)).size % 576 == 0
 
 
@@ -346,6 +363,38 @@ def test_warc_archives_are_bounded(spark, monkeypatch):
     assert len(per) > 18 and max(per) <= 3
 
 
+@pytest.mark.parametrize("split", ["64m", "2000b"])
+def test_warc_archives_in_splits(spark, tmp_path, split):
+    """Records that begin, end and go on in different splits, with heads inside their payloads."""
+
+    def record(body):
+        return b"WARC/1.0\r\nWARC-Type: resource\r\ncontent-length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+    rng = random.Random(9)
+    for n in range(3):
+        bodies = []
+        for _ in range(40):
+            body = bytes(rng.choices(b"ab\r\n", k=rng.choice([0, 3, 40, 400])))
+            inner = rng.choice([b"", b"\r\n\r\n" + record(b"fake") + record(b"too") + b"x", b"\r\n\r\n\r\n\r\n"])
+            bodies.append(body + inner + body[:5])
+        (tmp_path / f"a{n}.warc").write_bytes(b"".join(map(record, bodies)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        rows = warc.read_split(spark, str(tmp_path)).collect()
+        (tmp_path / "bad.warc").write_bytes(record(b"one") + record(b"two")[:-9] + b"\r\n\r\n")
+        with pytest.raises(ValueError, match="bad.warc"):
+            warc.read_split(spark, str(tmp_path / "bad.warc"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    for n in range(3):
+        data = (tmp_path / f"a{n}.warc").read_bytes()
+        got = [bytes(r.bytes) for r in sorted(rows, key=lambda r: r.offset) if r.file.endswith(f"a{n}.warc")]
+        assert [warc.fields_of(x) for x in got] == list(warc.parse(data)) and b"".join(x + b"\r\n\r\n" for x in got) == data
+
+
 def test_warc_chain_rejects_payloads():
     def record(body):
         return b"WARC/1.0\r\nWARC-Type: resource\r\ncontent-length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
