@@ -11,9 +11,9 @@ bucket is sorted on its own, so memory follows the largest bucket, not the corpu
 3. Runs with equal bytes throughout, by a digest of 128 bits, are repeats as a whole. Only one of
    them, and runs that are unlike all others of their bucket, need sorting: their bytes go to the
    task of the bucket.
-4. A bucket of more than ``crowd`` runs is first split by longer prefixes: its suffixes are halved by
-   their distance to the anchor, and the suffixes of a half are dealt by all the bytes that they have
-   in common. Halves are halved again while they are crowded; runs that are equal throughout, or
+4. A bucket of more than ``crowd`` runs is first split by longer prefixes: its suffixes fall into PARTS
+   bands of distances to the anchor, and the suffixes of a band are dealt by all the bytes that they
+   have in common. Bands are cut again while they are crowded; runs that are equal throughout, or
    alone, leave on the way. A bucket of one distance holds one string only.
 5. The task ranks the cover samples of a bucket in the order of their suffixes: the positions of a
    difference cover modulo PERIOD, by their first PERIOD bytes and then by doubling. The bucket's
@@ -44,8 +44,8 @@ COVER = np.array([r < STEP or (r % STEP == 0 and 2 * r <= PERIOD) for r in range
 SHIFT = np.array([[next(d for d in range(PERIOD) if COVER[(a + d) % PERIOD] and COVER[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
 #: Bytes of texts that are hashed at once, and of runs that are sorted at once.
 SLICE, SORTED = 1 << 18, 1 << 19
-#: Runs of a bucket beyond which it is split: a few hundred KB.
-CROWD = 2048
+#: Runs of a bucket beyond which it is split, a MB or so, and bands into which it is.
+CROWD, PARTS = 4096, 4
 _random = np.random.default_rng(20240229)
 #: A random odd number for each byte, and two odd multipliers.
 BYTES = _random.integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -262,16 +262,19 @@ def sort_bucket(bucket: np.ndarray, texts: list[bytes], low: np.ndarray, high: n
     return found.run[good], (low[found.run] - found.offset)[good]
 
 
-def told_apart(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+def told_apart(rows: DataFrame, size: int, all_rows: bool = True) -> tuple[DataFrame, DataFrame]:
     """(ranges of runs that occur twice in their bucket, a row for each kind of run that needs sorting).
 
     Of rows (h, c, e, row, pos, lo, hi, and others) one for each (h, c, e) stays, if its bucket holds other
-    kinds too and not all of them occur twice; n is the number of kinds in the bucket.
+    kinds too and not all of them occur twice; n is the number of kinds in the bucket. Beyond the first
+    round the rows are those of crowded buckets only.
     """
     spot, kind = F.struct("row", "pos"), ["h", "c", "e"]
     counted = rows.groupBy(*kind).agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.count("*").alias("times"))
     kinds = materialize(counted.select(*kind, "first", "times", (F.col("first") < F.col("last")).alias("often")), "kinds")
-    whole = join_hot(rows, kinds.where("often").select(*kind, "often", "times"), kind, "times").select("row", (F.col("pos") - F.col("lo")).alias("start"), (F.col("pos") - F.col("hi") + size).alias("end"))
+    often = kinds.where("often").select(*kind, "often", "times")
+    met = join_hot(rows, often, kind, "times") if all_rows else rows.join(often, kind)
+    whole = met.select("row", (F.col("pos") - F.col("lo")).alias("start"), (F.col("pos") - F.col("hi") + size).alias("end"))
     needy = kinds.groupBy("h").agg(F.count("*").alias("n"), F.min("often").alias("all")).where("n > 1 and not all").select("h", "n")
     return whole, kinds.join(needy, "h").select(*kind, "n", "first")
 
@@ -291,9 +294,9 @@ def repeated_spans(docs: DataFrame, size: int = 200, crowd: int = CROWD) -> Data
         crowded = pieces.where(~simple)
         if crowded.isEmpty():
             return out
-        halves = materialize(halved(crowded, size).drop("n"), "halves")
-        whole, wanted = told_apart(halves, size)
-        pieces = materialize(halves.join(wanted, ["h", "c", "e"]).where("row = first.row and pos = first.pos").select(*pieces.columns), "contexts")
+        bands = materialize(banded(crowded, size).drop("n"), "bands")
+        whole, wanted = told_apart(bands, size, all_rows=False)
+        pieces = materialize(bands.join(wanted, ["h", "c", "e"]).where("row = first.row and pos = first.pos").select(*pieces.columns), "contexts")
         out = out.unionByName(whole)
 
 
@@ -321,16 +324,17 @@ def contexts(docs: DataFrame, size: int) -> DataFrame:
     return map_arrow(docs.select("row", "text", "runs"), cut, PIECE, 256)
 
 
-def halved(pieces: DataFrame, size: int) -> DataFrame:
-    """The pieces cut in two by their suffixes' distance to the anchor; those of a half whose common bytes agree share the new bucket h."""
+def banded(pieces: DataFrame, size: int) -> DataFrame:
+    """The pieces cut into bands by their suffixes' distance to the anchor; those of a band whose common bytes agree share the new bucket h."""
     schema = PIECE + ", c long, e long"
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for h, n, near, far, row, pos, lo, hi, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                middle = (near + far) // 2
-                for a, b in ((near, middle), (middle + 1, far)):
+                width = -(-(far - near + 1) // PARTS)
+                for a in range(near, far + 1, width):
+                    b = min(far, a + width - 1)
                     low, high = min(lo, b), max(hi, a)
                     if low < high:
                         continue
