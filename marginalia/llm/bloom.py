@@ -108,20 +108,21 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits:
     return out
 
 
+def among(keys: DataFrame) -> Callable[[pa.Array], np.ndarray]:
+    """What tells, in a worker, for each long of an array whether keys (one column, a long) may hold it."""
+    bits = bits_for(keys, 4)
+    once = keys.sparkSession.sparkContext.broadcast(build(keys, lambda b: spread(b.column(0).to_numpy().view(np.uint64)), bits, twice=False))
+    return lambda column: holds(once.value, probes(spread(column.to_numpy().view(np.uint64)), bits))
+
+
 def apart(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of df that may have one of the keys, rows that have none); the key is df's first column, a long, and keys' only one.
 
     The second part needs no join, so it isn't shuffled. df is read twice, once for each part.
     """
-    bits = bits_for(keys, 4)
-    once = df.sparkSession.sparkContext.broadcast(build(keys, lambda b: spread(b.column(0).to_numpy().view(np.uint64)), bits, twice=False))
+    found = among(keys)
 
     def keep(wanted: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = holds(once.value, probes(spread(batch.column(0).to_numpy().view(np.uint64)), bits))
-                yield batch.filter(pa.array(found == wanted))
-
-        return run
+        return lambda batches: (batch.filter(pa.array(found(batch.column(0)) == wanted)) for batch in batches)
 
     return map_arrow(df, keep(True), df.schema), map_arrow(df, keep(False), df.schema)
