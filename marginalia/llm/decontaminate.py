@@ -4,7 +4,7 @@ The automaton reads a document's words and tracks the longest match that ends at
 reaches a window (13 words, or a whole shorter item), the window's words are hit. Automata are built
 for blocks of items of a bounded size, long items in parts that overlap by less than a window. One block
 at a time is collected, built and broadcast, so the driver and a worker hold one of them whatever the
-benchmark holds (about 1 kB a word); with several blocks what each of them hits is written down, and
+benchmark holds (about 600 bytes a word); with several blocks what each of them hits is written down, and
 merged by document at the end. Only stretches of words whose neighbouring pairs all occur in the items are streamed: elsewhere the
 automaton could match fewer words than the shortest window has.
 """
@@ -29,6 +29,7 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 o
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Words of the items in one automaton, about, and of a part of an item.
 BLOCK_WORDS, PART_WORDS = 200_000, 20_000
+NONE: frozenset[str] = frozenset()
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -51,8 +52,8 @@ class Automaton:
         self.least = min([window, *(len(w) for _, w in coded)])
         pairs = {a << 32 | b for _, w in coded for a, b in zip(w, w[1:], strict=False)}
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
-        self.names: list[set[str]] = [set() for _ in self.length]  # of a window's state: items that hold it
-        self.whole: list[list[tuple[int, str | None]]] = [[] for _ in self.length]  # items shorter than a window that end a state's strings
+        self.names: dict[int, set[str]] = {}  # of a window's state: items that hold it
+        self.whole: dict[int, list[tuple[int, str | None]]] = {}  # items shorter than a window that end a state's strings
         self.at = self.ancestors()
         ends: dict[int, list[tuple[int, str | None]]] = {}
         for name, word in coded:
@@ -60,13 +61,14 @@ class Automaton:
             for n, w in enumerate(word, 1):
                 state = self.next[state][w]
                 if n >= window and name is not None:
-                    self.names[self.at[state]].add(name)
+                    self.names.setdefault(self.at[state], set()).add(name)
             if len(word) < window:
                 while self.length[self.link[state]] >= len(word):
                     state = self.link[state]
                 ends.setdefault(state, []).append((len(word), name))
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__):
-            self.whole[state] = ends.get(state, []) + self.whole[self.link[state]]
+        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__) if ends else ():
+            if found := ends.get(state, []) + self.whole.get(self.link[state], []):
+                self.whole[state] = found
 
     def extend(self, last: int, w: int) -> int:
         """The state after the string of state last and the word w, which is added where it is new."""
@@ -124,7 +126,7 @@ class Automaton:
         if len(words) < self.least or not self.ids:
             return
         ids, ranges = self.stretches(words)
-        step, link, length = self.next, self.link, self.length
+        step, link, length, whole = self.next, self.link, self.length, self.whole.get
         for begin, end in ranges:
             state = matched = 0
             for i, w in enumerate(ids[begin:end].tolist(), begin):
@@ -136,8 +138,8 @@ class Automaton:
                     matched += 1
                 if matched >= self.window:
                     hit[i + 1 - self.window : i + 1] = True
-                    found |= self.names[self.at[state]]
-                for size, name in self.whole[state]:
+                    found |= self.names.get(self.at[state], NONE)
+                for size, name in whole(state, ()):
                     if size <= matched:
                         hit[i + 1 - size : i + 1] = True
                         if name is not None:
