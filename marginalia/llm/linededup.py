@@ -41,11 +41,15 @@ def as_keys(found: Iterable[bytes]) -> np.ndarray:
 
 
 def drops(docs: DataFrame, min_points: int, bits: int | None = None) -> DataFrame:
-    """(key, lines): the digests of the keys that a document loses; docs has key and text."""
+    """(key, spot, lines): the digests of the keys that a row loses; docs has key, spot and text.
+
+    key is the document's, spot tells apart the rows without an id, which all have one key: however many
+    they are, a list holds the lines of one text only.
+    """
     bits = bits or bloom.bits_for(docs, 8)
 
     def keys_of(batch: pa.RecordBatch) -> np.ndarray:
-        return as_keys(key for text in batch.column(1).to_pylist() for key in {*digests(text, min_points)} - {None})
+        return as_keys(key for text in batch.column(2).to_pylist() for key in {*digests(text, min_points)} - {None})
 
     bitmap = docs.sparkSession.sparkContext.broadcast(bloom.build(docs, keys_of, bits))
 
@@ -53,17 +57,19 @@ def drops(docs: DataFrame, min_points: int, bits: int | None = None) -> DataFram
         for batch in batches:
             names: list[int] = []
             found: list[bytes] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for n, text in enumerate(batch.column(2).to_pylist()):
                 keys = {*digests(text, min_points)} - {None}
                 found += keys
-                names += [doc] * len(keys)
+                names += [n] * len(keys)
             if found:
                 hit = np.flatnonzero(bloom.holds(bitmap.value, bloom.probes(as_keys(found), bits)))
-                yield pa.RecordBatch.from_arrays([pa.array([found[i] for i in hit], pa.binary()), pa.array([names[i] for i in hit], pa.int64())], ["line", "key"])
+                at = pa.array(np.array(names)[hit])
+                yield pa.RecordBatch.from_arrays([pa.array([found[i] for i in hit], pa.binary()), batch.column(0).take(at), batch.column(1).take(at)], ["line", "key", "spot"])
 
-    held = materialize(map_arrow(docs, suspects, "line binary, key long"), "suspects")
+    held = materialize(map_arrow(docs, suspects, "line binary, key long, spot long"), "suspects")
     repeats = materialize(held.groupBy("line").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).where("first < last").select("line", "first", "n"), "repeats")
-    return materialize(join_hot(held, repeats, "line", "n").where("key != first").groupBy("key").agg(F.collect_set("line").alias("lines")), "drops")
+    lost = join_hot(held, repeats, "line", "n").where("key != first")
+    return materialize(lost.groupBy("key", "spot").agg(F.collect_set("line").alias("lines")), "drops")
 
 
 def dedup_lines(docs: DataFrame, min_points: int = 10) -> DataFrame:
@@ -75,14 +81,15 @@ def dedup_lines(docs: DataFrame, min_points: int = 10) -> DataFrame:
     are one document, after all others; rows that repeat a doc_id are one document too. If docs
     already has columns of these names, the new ones replace them.
     """
-    own = [c for c in docs.columns if c not in ("kept", "n_lines", "n_dropped", "_marginalia_key", "_marginalia_lines")]
-    keyed = docs.select(key_of("doc_id").alias("key"), utf8("text").alias("text"))
-    lost = drops(keyed, min_points).select(F.col("key").alias("_marginalia_key"), F.col("lines").alias("_marginalia_lines"))
-    touched, untouched = bloom.apart(docs.select(key_of("doc_id").alias("_marginalia_key"), *own), lost.select("_marginalia_key"))
-    joined = touched.join(lost.hint("shuffle_hash"), "_marginalia_key", "left")
-    untouched = untouched.withColumn("_marginalia_lines", F.lit(None).cast("array<binary>"))
-    schema = joined.select(*own).schema
-    at = {name: untouched.columns.index(name) for name in (*own, "_marginalia_lines")}
+    key, spot = "_marginalia_key", "_marginalia_spot"
+    own = [c for c in docs.columns if c not in ("kept", "n_lines", "n_dropped", key, spot, "_marginalia_lines")]
+    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(utf8("text"))).alias(spot), key_of("doc_id").alias(key), *own)
+    lost = drops(given.select(F.col(key).alias("key"), F.col(spot).alias("spot"), utf8("text").alias("text")), min_points)
+    lost = lost.select(F.col("key").alias(key), F.col("spot").alias(spot), F.col("lines").alias("_marginalia_lines"))
+    touched, untouched = bloom.apart(given, lost.select(spot))
+    joined = touched.join(lost.hint("shuffle_hash"), [key, spot], "left")
+    schema, columns = joined.select(*own).schema, joined.columns
+    at = {name: columns.index(name) for name in (*own, "_marginalia_lines")}
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,4 +110,7 @@ def dedup_lines(docs: DataFrame, min_points: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [*own, "kept", "n_lines", "n_dropped"])
 
     out = schema.add("kept", "binary").add("n_lines", "long").add("n_dropped", "long")
-    return map_arrow(joined.select(untouched.columns), cut, out).unionByName(map_arrow(untouched, cut, out))
+    whole = utf8("text")
+    lines = F.octet_length(whole) - F.octet_length(F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\n"), F.lit(""))) + 1
+    as_is = untouched.select(*own, whole.alias("kept"), lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return map_arrow(joined, cut, out).unionByName(as_is)
