@@ -36,6 +36,8 @@ CHUNK = 1 << 16
 QUERIES, FRONTIER = 1 << 9, 1 << 22
 #: Fingerprints of a shard beyond which it is cut into tiles, and beyond which neighbours are linked first.
 TILE, DENSE = 1 << 15, 1 << 8
+#: Edges up to which a hub's fit a task.
+SMALL = 1_000_000
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -247,20 +249,28 @@ def connect(edges: DataFrame) -> DataFrame:
     """(u, root) for every vertex of edges (u, v) but the roots; a root is its component's least vertex.
 
     Alternates large-star and small-star steps; each reads and writes a working table, so a lost
-    executor costs one step. Rounds grow with the logarithm of the longest path. The hub of a large
-    component doesn't collect its edges in one task (join_hot).
+    executor costs one step. Rounds grow with the logarithm of the longest path. From SMALL edges on the
+    hub of a large component doesn't collect its edges in one task (join_hot).
     """
+
+    def least(rows: DataFrame, name: str) -> DataFrame:
+        found = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        return materialize(found, name) if many else found
+
+    def meet(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return join_hot(rows, found, "u", "n") if many else rows.join(found.drop("n"), "u")
+
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-    mark = None
+    mark = edges.count(), None
     while True:
+        many = mark[0] > SMALL
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-        large = join_hot(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = meet(both, least(both, "least")).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         large = materialize(large, "large")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
-        small = join_hot(large, low, "u", "n").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        low = least(large, "low")
+        small = meet(large, low).where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == mark:
             return edges.select("u", F.col("v").alias("root"))
         mark = now
