@@ -30,12 +30,11 @@ from .common import map_arrow, only
 #: The ids of a part of a text, these joined by commas, and the bytes that they decode to.
 Unit = tuple[tuple[int, ...], str, bytes]
 IDS, JOINED, DECODED = map(itemgetter, range(3))
-#: Pieces, and parts between single spaces, that a worker remembers; longer ones than MEMO_BYTES it doesn't.
+#: Pieces, parts between single spaces, pairs of tokens, and prefixes of pieces with their last tokens that a
+#: worker remembers, of each at most; pieces and parts of more than MEMO_BYTES it doesn't.
 MEMO, MEMO_BYTES = 300_000, 64
 #: A single space that starts a match of the pattern.
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
-#: Pairs of tokens, and prefixes of pieces with their last tokens, that a worker remembers.
-PAIRS, PREFIXES = 500_000, 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,10 +44,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encodes pieces and whole texts, and decodes ids. Workers keep its memory between tasks."""
+    """Encodes pieces and whole texts, and decodes ids. Workers keep its memory, bounded by remember, between tasks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, pattern
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = MEMO):
+        self.ranks, self.pattern, self.remember = ranks, pattern, remember
         self.split = regex.compile(pattern)
         self.cuts = pattern == public_tokenizers.PATTERN  # whether single spaces start a match, as encode() may use
         self.token = {rank: token for token, rank in ranks.items()}
@@ -71,7 +70,7 @@ class Codec:
         self.spaced: dict[str, Unit] = {}
 
     def __reduce__(self) -> tuple:
-        return Codec, (self.ranks, self.pattern)
+        return Codec, (self.ranks, self.pattern, self.remember)
 
     def merge(self, piece: bytes) -> list[int]:
         """The merge rules themselves, for short pieces: always the leftmost pair of least rank."""
@@ -90,7 +89,7 @@ class Codec:
         key = left << 20 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) >= self.remember:
                 self.pairs.clear()
             known = self.pairs[key] = self.merge(self.token[left] + self.token[right]) == [left, right]
         return known
@@ -107,7 +106,7 @@ class Codec:
             if token is None:
                 break
             last.append(token)
-        room = len(prefixes) < PREFIXES
+        room = len(prefixes) < self.remember
         for j in range(len(last), n + 1):
             for i in range(j - 1, -1, -1):
                 token = begins(piece[i:j])
@@ -137,7 +136,7 @@ class Codec:
             ids = self.pieces.get(piece)
             if ids is None:
                 ids = tuple(self.encode_piece(piece.encode()))
-                if len(matches) > 1 and len(piece) <= MEMO_BYTES and len(self.pieces) < MEMO:
+                if len(matches) > 1 and len(piece) <= MEMO_BYTES and len(self.pieces) < self.remember:
                     self.pieces[piece] = ids
             out += ids
         return tuple(out)
@@ -151,7 +150,7 @@ class Codec:
         found = self.spaced.get(part)
         if found is None:
             found = self.unit(" " + part)
-            if len(part) <= MEMO_BYTES and len(self.spaced) < MEMO:
+            if len(part) <= MEMO_BYTES and len(self.spaced) < self.remember:
                 self.spaced[part] = found
         return found
 
@@ -270,12 +269,13 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str, pattern: str) -> Da
     return map_arrow(docs.select(as_long("doc_id"), as_text("text")), run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, vocabulary_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, vocabulary_path: str, pattern: str, with_ids: bool = False, remember: int = MEMO) -> DataFrame:
     """For each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids); as encode_and_decode() otherwise.
 
-    ids_sha256 is that of the decimal ids joined by commas. The decoded bytes stay in the worker.
+    ids_sha256 is that of the decimal ids joined by commas. The decoded bytes stay in the worker. remember
+    bounds a worker's memory, at some 700 bytes each; results don't depend on it.
     """
-    codec = shared_codec(docs.sparkSession, vocabulary_path, pattern)
+    codec = shared_codec(docs.sparkSession, vocabulary_path, pattern, remember)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,8 +299,8 @@ def digests(docs: DataFrame, vocabulary_path: str, pattern: str, with_ids: bool
     return map_arrow(docs.select(as_long("doc_id"), as_text("text")), run, schema)
 
 
-def shared_codec(spark: SparkSession, vocabulary_path: str, pattern: str) -> Broadcast:
-    return spark.sparkContext.broadcast(Codec(load_ranks(vocabulary_path), pattern))
+def shared_codec(spark: SparkSession, vocabulary_path: str, pattern: str, remember: int = MEMO) -> Broadcast:
+    return spark.sparkContext.broadcast(Codec(load_ranks(vocabulary_path), pattern, remember))
 
 
 def as_long(column: str) -> F.Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -36,14 +37,28 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, step)
 
 
+def release() -> None:
+    """Give memory that was freed back to the system, as a worker waits for tasks beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
     """mapInArrow over slices of batches, which bound what fn holds at once.
 
     Spark itself ends a batch at spark.sql.execution.arrow.maxBytesPerBatch (64 MB if not set), read when
     the plan runs; no setting of the session is changed here.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(sliced(batches, rows))
+        finally:
+            release()
+
     ship(df.sparkSession)
-    return df.mapInArrow(lambda batches: fn(sliced(batches, rows)), schema)
+    return df.mapInArrow(run, schema)
 
 
 _remembering: object = None
@@ -55,7 +70,7 @@ def only(memory):
     if _remembering is not memory:
         if _remembering is not None:
             _remembering.forget()
-            pa.default_memory_pool().release_unused()
+            release()
         _remembering = memory
     return memory
 

@@ -29,6 +29,8 @@ START = "▁"
 #: Words below this length go through the batched forward algorithm; longer ones rescale as they go, and
 #: training cuts them into parts below it, so that no probability underflows.
 SHORT = 32
+#: Words that go through it at once: some 10 MB.
+BLOCK = 4096
 #: Least probability of a piece, and that of a character that no piece covers.
 FLOOR, UNKNOWN = 1e-7, 1e-8
 #: Tokens that a worker remembers; the first ones stay, as frequent tokens come early.
@@ -122,8 +124,8 @@ class Lattice:
 class Model:
     """Probabilities of pieces for each language; log_words scores words."""
 
-    def __init__(self, pieces: Pieces, langs: list[str], prob: np.ndarray):
-        self.pieces, self.langs, self.prob = pieces, langs, prob
+    def __init__(self, pieces: Pieces, langs: list[str], prob: np.ndarray, remember: int = MEMO):
+        self.pieces, self.langs, self.prob, self.remember = pieces, langs, prob, remember
         self.forget()
 
     def forget(self) -> None:
@@ -131,18 +133,19 @@ class Model:
         self.rows = np.zeros((0, len(self.langs) + 1))
 
     def __getstate__(self) -> dict:
-        return {"names": self.pieces.names, "langs": self.langs, "prob": self.prob}
+        return {"names": self.pieces.names, "langs": self.langs, "prob": self.prob, "remember": self.remember}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(Pieces(state["names"][1:]), state["langs"], state["prob"])
+        self.__init__(Pieces(state["names"][1:]), state["langs"], state["prob"], state["remember"])
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """log P(word) for each language, summed over all segmentations."""
         out = np.empty((len(words), len(self.langs)))
         short = [i for i, w in enumerate(words) if len(w) < SHORT]
-        if short:
-            lattice = Lattice(self.pieces, [words[i] for i in short])
-            out[short] = np.log(lattice.forward(self.prob)[np.arange(len(short)), lattice.length])
+        for at in range(0, len(short), BLOCK):
+            part = short[at : at + BLOCK]
+            lattice = Lattice(self.pieces, [words[i] for i in part])
+            out[part] = np.log(lattice.forward(self.prob)[np.arange(len(part)), lattice.length])
         for i in (i for i, w in enumerate(words) if len(w) >= SHORT):
             out[i] = self.log_long(words[i])
         return out
@@ -180,7 +183,7 @@ class Model:
         if len(flat):
             rows[size > 0, :-1] = np.add.reduceat(value[flat], (np.cumsum(size) - size)[size > 0], axis=0)
             rows[:, -1] = [sum(map(len, p)) for p in split]
-        kept = min(len(new), max(0, MEMO - len(self.memo)))
+        kept = min(len(new), max(0, self.remember - len(self.memo)))
         at = len(self.memo)
         if at + kept > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(kept, len(self.rows)), len(self.langs) + 1))])
@@ -304,11 +307,13 @@ def held_out() -> F.Column:
     return F.pmod(crc_of("doc_id"), F.lit(4)) == 2
 
 
-def detect(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 200) -> DataFrame:
+def detect(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 200, remember: int = MEMO) -> DataFrame:
     """Train on docs (doc_id, text, lang), then docs with held_out, lang_pred, score and per_letter.
 
     A text that is null or has no letters (number characters are none) is und with score 0, as are all if
     no row has a language. Null ids and repeated rows are kept; ties go to the first language by name.
+    remember bounds the tokens that a worker remembers; results don't depend on it.
     """
     model = train(docs, vocabulary_path, held_out(), docs_per_language)
+    model.remember = remember
     return identify(docs.withColumn("held_out", held_out()), model)
