@@ -158,12 +158,29 @@ def stars(shard: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray
     shard, value = shard[order], value[order]
     fresh = np.r_[True, (shard[1:] != shard[:-1]) | (value[1:] != value[:-1])]
     shard, value = shard[fresh], value[fresh]
+    label = labels(shard, value, radius)
+    member = label != np.arange(len(value))
+    return value[member], value[label[member]]
+
+
+def roots(shard: np.ndarray, value: np.ndarray, radius: int) -> np.ndarray:
+    """For each row the first row that has the least value which links reach in its shard."""
+    order = np.lexsort((value, shard))
+    fresh = np.r_[True, (np.diff(shard[order]) != 0) | (value[order[1:]] != value[order[:-1]])]
+    first = order[fresh]
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = first[labels(shard[first], value[first], radius)[np.cumsum(fresh) - 1]]
+    return out
+
+
+def labels(shard: np.ndarray, value: np.ndarray, radius: int) -> np.ndarray:
+    """For each of distinct values in ascending order by shard the number of the least that links reach in it, by a BK-tree for each shard."""
+    out = np.arange(len(value))
     edge = np.r_[True, shard[1:] != shard[:-1]]
-    shard = np.cumsum(edge) - 1
-    alone = np.bincount(shard)[shard] == 1
-    shard, value = shard[~alone], value[~alone]
-    if not len(value):
-        return value, value
+    some = np.flatnonzero(np.bincount(np.cumsum(edge) - 1)[np.cumsum(edge) - 1] > 1)
+    if not len(some):
+        return out
+    shard, value = shard[some], value[some]
     shard = np.cumsum(np.r_[True, shard[1:] != shard[:-1]]) - 1
     forest, label = Forest(shard, value), np.arange(len(value))
     largest = int(np.bincount(shard).max())
@@ -181,8 +198,8 @@ def stars(shard: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray
         if len(left):
             label = components(len(value), left, right, label)
             uniform = forest.uniform(label) if dense else None
-    member = label != np.arange(len(value))
-    return value[member], value[label[member]]
+    out[some] = some[label]
+    return out
 
 
 def neighbours(shard: np.ndarray, value: np.ndarray, radius: int, label: np.ndarray) -> np.ndarray:
@@ -197,34 +214,32 @@ def neighbours(shard: np.ndarray, value: np.ndarray, radius: int, label: np.ndar
     return components(len(value), np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), label)
 
 
+def whole_shards(batches: Iterable[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """The columns of batches in order of their first, the shard, cut after about as many rows, where a shard ends."""
+    held: list[list[np.ndarray]] = []
+    waiting = 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        waiting += batch.num_rows
+        if waiting < rows:
+            continue
+        kept = [np.concatenate(x) for x in zip(*held, strict=True)]
+        whole = kept[0] != kept[0][-1]
+        if whole.any():
+            yield [x[whole] for x in kept]
+        held = [[x[~whole] for x in kept]]
+        waiting = len(held[0][0]) if whole.any() else 0  # a shard that grows is joined less often
+    if held and any(len(x[0]) for x in held):
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Stars (u, v), v < u unsigned, of the fingerprints in column fp within each shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_shard, kept_value = np.empty(0, np.int64), np.empty(0, np.uint64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
-
-        def out(shard: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-            u, v = stars(shard, value, radius)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
-        for batch in batches:
-            shard, value = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            held.append((shard, value))
-            rows += len(shard)
-            if rows < 1 << 16:
-                continue
-            kept_shard, kept_value = (np.concatenate(x) for x in zip(*held, strict=True))
-            whole = kept_shard != kept_shard[-1]
-            if whole.any():
-                yield out(kept_shard[whole], kept_value[whole])
-            held = [(kept_shard[~whole], kept_value[~whole])]
-            rows = len(held[0][0]) if whole.any() else 0  # a shard that grows is joined less often
-        if held:
-            kept_shard, kept_value = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(kept_shard):
-                yield out(kept_shard, kept_value)
+        for shard, value in whole_shards(batches):
+            u, v = stars(shard, value.view(np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     spread = distinct.select(F.explode(shard_keys(F.col("fp"), radius)).alias("shard"), "fp")
     spread = tiled(spread, tile).repartition(F.col("shard")).sortWithinPartitions("shard")
@@ -232,7 +247,7 @@ def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
 
 
 def tiled(spread: DataFrame, tile: int) -> DataFrame:
-    """spread (shard, fp) with each shard of more than tile rows cut into tiles, and a shard for each two of them."""
+    """spread (shard, fp, more columns) with each shard of more than tile rows cut into tiles, and a shard for each two of them."""
     large = materialize(spread.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > tile), "large")
     if large.isEmpty():
         return spread
@@ -242,7 +257,7 @@ def tiled(spread: DataFrame, tile: int) -> DataFrame:
     met = spread.join(large, "shard", "left").withColumn("own", own)
     others = F.filter(F.sequence(F.lit(0), tiles - 1), lambda t: t != F.col("own"))
     pairs = F.transform(others, lambda t: F.xxhash64("shard", F.least(t, F.col("own")), F.greatest(t, F.col("own"))))
-    return met.select(F.explode(F.when(F.col("n").isNull(), F.array("shard")).otherwise(pairs)).alias("shard"), "fp")
+    return met.select(F.explode(F.when(F.col("n").isNull(), F.array("shard")).otherwise(pairs)).alias("shard"), *spread.drop("shard").columns)
 
 
 def connect(edges: DataFrame) -> DataFrame:
